@@ -152,16 +152,17 @@ def _bounded(pairs: DataFrame, owner: list[str], lo_hi: tuple[list[Column], list
     return measured.where(keep).drop("_near", "_far", "_bound")
 
 
-def _candidate_cells(blocks: DataFrame, tree: CellTree, k: int, within: float | None) -> DataFrame:
-    """(query block, leaf cell) pairs that can hold one of the k nearest points."""
-    group, owner = tree.group, [*tree.group, *[f"b_{c}" for c in CELL]]
-    mine = [F.col(f"b_{c}") for c in BOX]
-    theirs = [F.col(c) for c in BOX]
+def _candidate_cells(asking: DataFrame, owner: list[str], tree: CellTree, k: int, within: float | None) -> DataFrame:
+    """Pair every asking box (``q_lo_x …`` and its ``owner`` key) with the leaf cells that can hold an answer.
+
+    All columns of ``asking`` are carried along.
+    """
+    group, carried = tree.group, asking.columns
+    boxes = ([F.col(f"q_{c}") for c in BOX], [F.col(c) for c in BOX])
     state = [*CELL, *BOX, "n", "leaf"]
-    asking = blocks.select(*group, *[F.col(c).alias(f"b_{c}") for c in CELL + BOX])
     pairs = asking.join(tree.cells.where("lvl = 0").select(*group, *state), group)
     if within is not None:
-        pairs = _bounded(pairs, owner, (mine, theirs), k, within)
+        pairs = _bounded(pairs, owner, boxes, k, within)
     for _ in range(tree.depth // STRIDE):
         below = tree.cells.select(*[F.col(g).alias(f"_g_{g}") for g in group],
                                   *[F.col(p).alias(f"_{p}") for p in ("plvl", "px", "py")],
@@ -172,40 +173,51 @@ def _candidate_cells(blocks: DataFrame, tree: CellTree, k: int, within: float |
         for c, p in zip(CELL, ("plvl", "px", "py")):
             match = match & (F.col(c) == F.col(f"_{p}"))
         step = pairs.join(below, match, "left")
-        step = step.select(*owner, *[f"b_{c}" for c in BOX],
-                           *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) for c in state])
-        pairs = _bounded(step, owner, (mine, theirs), k, within)
-    return pairs
+        step = step.select(*carried, *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) for c in state])
+        pairs = _bounded(step, owner, boxes, k, within)
+    return pairs.drop(*[f"q_{c}" for c in BOX])
+
+
+def _candidates_by_block(asking: CellTree, tree: CellTree, k: int, within: float | None) -> DataFrame:
+    owner = [*tree.group, *[f"b_{c}" for c in CELL]]
+    blocks = asking.cells.where("leaf").select(*tree.group, *[F.col(c).alias(f"b_{c}") for c in CELL],
+                                               *[F.col(c).alias(f"q_{c}") for c in BOX])
+    pairs = _candidate_cells(blocks, owner, tree, k, within)
+    own = [c for c in asking.points.columns if c not in CELL]
+    members = asking.points.select(*own, *[F.col(c).alias(f"b_{c}") for c in CELL])
+    return members.join(pairs, owner).drop(*[f"b_{c}" for c in CELL])
 
 
 def nearest(queries: DataFrame | CellTree, query_key: list[str], tree: CellTree, k: int, order: list[str],
-            payload: list[str], within: float | None = None, block_rows: int = 8) -> DataFrame:
+            payload: list[str], within: float | None = None, block_rows: int | None = 8) -> DataFrame:
     """The ``k`` nearest tree points per query, ties broken by ``order``.
 
     Queries carry ``(group, x, y)`` and a unique ``query_key``; pass the tree itself for a self-join.
+    Without ``block_rows`` every query searches alone, which saves sorting queries that are used once.
     Output: the query columns, ``n_<payload>``, ``d2`` and 1-based ``rank``.  With ``within`` only
     points strictly closer than that distance are returned.
     """
     if tree.copies is not None and k > tree.copies:
         raise ValueError(f"the tree answers up to k={tree.copies}")
     group = tree.group
-    asking = queries if isinstance(queries, CellTree) else build_tree(queries, group, query_key, block_rows)
-    pairs = _candidate_cells(asking.cells.where("leaf"), tree, k, within)
-    owner = [*group, *[f"b_{c}" for c in CELL]]
-    own = [c for c in asking.points.columns if c not in CELL]
-    placed = asking.points.select(*own, *[F.col(c).alias(f"b_{c}") for c in CELL]).join(
-        pairs.drop(*[f"b_{c}" for c in BOX]), owner).drop(*[f"b_{c}" for c in CELL])
+    owner = list(dict.fromkeys([*group, *query_key]))
+    if isinstance(queries, CellTree) or block_rows:
+        asking = queries if isinstance(queries, CellTree) else build_tree(queries, group, query_key, block_rows)
+        own = [c for c in asking.points.columns if c not in CELL]
+        placed = _candidates_by_block(asking, tree, k, within)
+    else:
+        own = queries.columns
+        boxed = queries.withColumns({f"q_{c}": F.col(c[-1]) for c in BOX})
+        placed = _candidate_cells(boxed, owner, tree, k, within)
     x, y = F.col("x"), F.col("y")
-    placed = _bounded(placed, list(dict.fromkeys([*group, *query_key])),
-                      ([x, x, y, y], [F.col(c) for c in BOX]), k, within)
+    placed = _bounded(placed, owner, ([x, x, y, y], [F.col(c) for c in BOX]), k, within)
     carried = list(dict.fromkeys([*payload, *order, "x", "y"]))
     members = tree.points.select(*group, *CELL, *[F.col(c).alias(f"n_{c}") for c in carried if c not in group])
     found = placed.select(*own, *CELL).join(members, [*group, *CELL]).drop(*CELL)
     found = found.withColumn("d2", _square(F.col("n_x") - F.col("x"), F.col("n_y") - F.col("y")))
     if within is not None:
         found = found.where(F.sqrt("d2") < within)
-    ordered = Window.partitionBy(*list(dict.fromkeys([*group, *query_key]))).orderBy(
-        "d2", *[f"n_{c}" for c in order])
+    ordered = Window.partitionBy(*owner).orderBy("d2", *[f"n_{c}" for c in order])
     ranked = found.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
     wanted = {f"n_{c}" for c in payload}
     return ranked.drop(*[f"n_{c}" for c in carried if f"n_{c}" not in wanted])
