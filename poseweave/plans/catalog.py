@@ -30,6 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 
 def load_all() -> dict[str, Entry]:
-    from poseweave.plans import (queries_estimation, queries_grid, queries_pose)  # noqa: F401
+    from poseweave.plans import (queries_estimation, queries_grid, queries_pose, queries_relations,  # noqa: F401
+                                 queries_text)
 
     return CATALOG
