@@ -164,8 +164,8 @@ def log_relations(spark, sf_dir):
 
 @query("streamed_trajectory", f"WITH {POSES} SELECT run, frame, {r('x', 'x')}, {r('y', 'y')}, {r('theta', 'theta')} FROM poses")
 def streamed_trajectory(spark, sf_dir):
-    """The trajectory query as a stateful stream over the events folder."""
-    out = stream_odometry(spark, sf_dir)
+    """The trajectory query as a stream over the events folder."""
+    out = stream_odometry(spark, sf_dir, T.motion_events)
     return out.select("run", "frame", *[shown(F.col(c)).alias(c) for c in ("x", "y", "theta")])
 
 

@@ -26,14 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def motions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(run, frame, scan, dx, dy, dtheta)``: the motion that leads to each frame."""
+def motion_events(events: DataFrame) -> DataFrame:
+    """``(run, ts, scan, dx, dy, dtheta)`` from event rows."""
     turn = F.lit(0.0)
     for kind, angle in TURNS.items():
         turn = F.when(F.col("event_type") == kind, F.lit(angle)).otherwise(turn)
-    raw = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run"), F.col("event_id").alias("scan"), "ts",
-        (F.col("value") / STEP_SCALE).alias("dx"), F.lit(0.0).alias("dy"), turn.alias("dtheta"))
+    return events.select(F.col("user_id").alias("run"), "ts", F.col("event_id").alias("scan"),
+                         (F.col("value") / STEP_SCALE).alias("dx"), F.lit(0.0).alias("dy"), turn.alias("dtheta"))
+
+
+def motions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run, frame, scan, dx, dy, dtheta)``: the motion that leads to each frame."""
+    raw = motion_events(table(spark, sf_dir, "events"))
     return number_rows(raw, ["run"], ["ts", "scan"], "frame").drop("ts")
 
 
