@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from poseweave.functions.grid import (GRID_COLUMNS, bilinear_weights, blend, grid_columns, in_domain, locate,
                                       node_position, patch_gradient)
 from poseweave.operators.neighbors import CellTree, build_tree, nearest
+from poseweave.session import pin
 
 CORNERS = ["00", "10", "01", "11"]
 OFFSETS = [(0, 0), (1, 0), (0, 1), (1, 1)]
@@ -134,26 +135,36 @@ def upsample(nodes: DataFrame, grids: DataFrame, group: list[str], factor: int)
                        (F.col("cw") * factor + F.col("i")).alias("col"), value.alias("value"))
 
 
-def surface_tree(points: DataFrame, group: list[str], order: list[str], payload: list[str]) -> CellTree:
-    """Tree over world points ``gx, gy`` for nearest-surface lookups."""
-    rows = points.select(*group, F.col("gx").alias("x"), F.col("gy").alias("y"), *order, *payload)
-    return build_tree(rows, group, order, copies=1)
+def surface_tree(points: DataFrame, group: list[str], order: list[str], k: int = 1) -> CellTree:
+    """Tree over world points ``gx, gy`` that remembers the sensor position ``ox, oy`` of each.
+
+    ``points`` carry ``gx, gy`` and the sensor position in ``x, y``.
+    """
+    rows = points.select(*group, *[c for c in order if c not in group], F.col("gx").alias("x"), F.col("gy").alias("y"),
+                         F.col("x").alias("ox"), F.col("y").alias("oy"))
+    return build_tree(rows, group, order, copies=k)
+
+
+def node_owners(nodes: DataFrame, tree: CellTree, group: list[str], order: list[str]) -> DataFrame:
+    """The surface point nearest to every node: its key, place and sensor position as ``n_…``, and ``d2``.
+
+    Square tiles of nodes search together.
+    """
+    tile = {"_tw": F.floor(F.col("w") / 3), "_th": F.floor(F.col("h") / 3)}
+    found = nearest(nodes.select(*group, "node", "w", "h", "x", "y"), ["node"], tree, 1, order,
+                    [*order, "x", "y", "ox", "oy"], tile=tile)
+    return pin(found.drop("w", "h", "rank"), "owners")
 
 
-def init_from_scans(nodes: DataFrame, points: DataFrame, group: list[str], order: list[str],
-                    signed: bool = True) -> DataFrame:
-    """Node value = distance to the nearest scan point, negative behind the surface it belongs to.
+def init_from_scans(nodes: DataFrame, owners: DataFrame, group: list[str], signed: bool = True) -> DataFrame:
+    """Node value = distance to its owner, negative behind the surface the owner belongs to.
 
-    ``points`` carry ``gx, gy`` and the sensor position ``x, y`` they were seen from.  Nodes of runs
-    without points keep their value.
+    Nodes of runs without points keep their value.
     """
-    seen = points.withColumnsRenamed({"x": "ox", "y": "oy"})
-    tree = surface_tree(seen, group, order, ["ox", "oy"])
-    found = nearest(nodes.select(*group, "node", "x", "y"), ["node"], tree, 1, order, ["ox", "oy", "x", "y"])
     to_node = F.hypot(F.col("x") - F.col("n_ox"), F.col("y") - F.col("n_oy"))
     to_surface = F.hypot(F.col("n_x") - F.col("n_ox"), F.col("n_y") - F.col("n_oy"))
     sign = F.when(to_node <= to_surface, F.lit(1.0)).otherwise(F.lit(-1.0)) if signed else F.lit(1.0)
-    fresh = found.select(*group, "node", (sign * F.sqrt("d2")).alias("_fresh"))
+    fresh = owners.select(*group, "node", (sign * F.sqrt("d2")).alias("_fresh"))
     return nodes.join(fresh, [*group, "node"], "left").withColumn(
         "value", F.coalesce(F.col("_fresh"), F.col("value"))).drop("_fresh")
 

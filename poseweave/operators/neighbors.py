@@ -55,16 +55,17 @@ def _keyed(quantised: DataFrame) -> DataFrame:
 
 
 def build_tree(points: DataFrame, group: list[str], order: list[str], leaf_rows: int = 8,
-               copies: int | None = None, max_level: int = MAX_LEVEL) -> CellTree:
+               copies: int | None = None, max_level: int = MAX_LEVEL, stored: bool = False) -> CellTree:
     """Sort points ``(group, x, y, order…)`` into cells.
 
     ``copies`` is the largest k the tree will be asked for.  Points at one exact location that can
     never be among the k nearest (because k copies with a smaller ``order`` exist) are then left out
-    of crowded cells; leave it unset when the points are only used as queries.
+    of crowded cells; leave it unset when the points are only used as queries.  ``stored`` says that
+    the points are a cheap view of a table that is already written.
     """
     if copies:
         leaf_rows = max(leaf_rows, copies)
-    points = pin(points, "tree-input")
+    points = points if stored else pin(points, "tree-input")
     frames = points.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.min("y").alias("_y0"),
         F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_side"))
@@ -188,12 +189,22 @@ def _candidates_by_block(asking: CellTree, tree: CellTree, k: int, within: float
     return members.join(pairs, owner).drop(*[f"b_{c}" for c in CELL])
 
 
+def _candidates_by_tile(queries: DataFrame, tile: dict[str, Column], tree: CellTree, k: int, within: float | None) -> DataFrame:
+    owner = [*tree.group, *tile]
+    tiled = queries.withColumns(tile)
+    boxes = tiled.groupBy(*owner).agg(F.min("x").alias("q_lo_x"), F.max("x").alias("q_hi_x"),
+                                      F.min("y").alias("q_lo_y"), F.max("y").alias("q_hi_y"))
+    return tiled.join(_candidate_cells(boxes, owner, tree, k, within), owner).drop(*tile)
+
+
 def nearest(queries: DataFrame | CellTree, query_key: list[str], tree: CellTree, k: int, order: list[str],
-            payload: list[str], within: float | None = None, block_rows: int | None = 8) -> DataFrame:
+            payload: list[str], within: float | None = None, block_rows: int | None = 8,
+            tile: dict[str, Column] | None = None) -> DataFrame:
     """The ``k`` nearest tree points per query, ties broken by ``order``.
 
     Queries carry ``(group, x, y)`` and a unique ``query_key``; pass the tree itself for a self-join.
     Without ``block_rows`` every query searches alone, which saves sorting queries that are used once.
+    ``tile`` names columns that already gather neighbouring queries, such as parts of a node grid.
     Output: the query columns, ``n_<payload>``, ``d2`` and 1-based ``rank``.  With ``within`` only
     points strictly closer than that distance are returned.
     """
@@ -201,7 +212,10 @@ def nearest(queries: DataFrame | CellTree, query_key: list[str], tree: CellTree,
         raise ValueError(f"the tree answers up to k={tree.copies}")
     group = tree.group
     owner = list(dict.fromkeys([*group, *query_key]))
-    if isinstance(queries, CellTree) or block_rows:
+    if tile:
+        own = queries.columns
+        placed = _candidates_by_tile(queries, tile, tree, k, within)
+    elif isinstance(queries, CellTree) or block_rows:
         asking = queries if isinstance(queries, CellTree) else build_tree(queries, group, query_key, block_rows)
         own = [c for c in asking.points.columns if c not in CELL]
         placed = _candidates_by_block(asking, tree, k, within)

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poseweave.functions.linalg import clamp, symmetric_eigen
-from poseweave.operators.neighbors import build_tree, nearest
+from poseweave.operators.neighbors import CellTree, build_tree, nearest
 
 
-def pca_normals(points: DataFrame, group: list[str], key: list[str], k: int, towards: tuple[str, str]) -> DataFrame:
+def pca_normals(points: DataFrame, group: list[str], key: list[str], k: int, towards: tuple[str, str],
+                tree: CellTree | None = None) -> DataFrame:
     """Normal and cornerness per point from its ``k`` nearest points (itself included) in ``group``.
 
     ``points`` carry ``x, y``; the normal is turned towards the position in the two ``towards`` columns.
+    A ``tree`` over the same points that answers k is used instead of building one.
     """
     k = max(2, k)
     order = [c for c in key if c not in group]
-    tree = build_tree(points.select(*group, *order, "x", "y", *towards), group, order, copies=k)
+    if tree is None:
+        tree = build_tree(points.select(*group, *order, "x", "y", *towards), group, order, copies=k)
     # Copies left out of the tree still need a normal.
     asking = tree if tree.whole else points.select(*group, *order, "x", "y", *towards)
     pairs = nearest(asking, order, tree, k, order, ["x", "y"])
@@ -37,7 +40,7 @@ def pca_normals(points: DataFrame, group: list[str], key: list[str], k: int, tow
                        (eig.axis_y * sign).alias("normal_y"), corner.alias("cornerness"))
 
 
-def scan_normals(world: DataFrame, k: int, per_scan: bool = False) -> DataFrame:
+def scan_normals(world: DataFrame, k: int, per_scan: bool = False, tree: CellTree | None = None) -> DataFrame:
     """Normals of world points ``(run, frame, idx, sx, sy, x, y, theta, gx, gy)``.
 
     Per-scan normals are estimated in the sensor frame and then rotated by the pose.
@@ -46,7 +49,7 @@ def scan_normals(world: DataFrame, k: int, per_scan: bool = False) -> DataFrame:
     if not per_scan:
         points = world.select(*key, F.col("x").alias("ox"), F.col("y").alias("oy"),
                               F.col("gx").alias("x"), F.col("gy").alias("y"))
-        return pca_normals(points, ["run"], key, k, ("ox", "oy")).withColumnsRenamed({"x": "gx", "y": "gy"})
+        return pca_normals(points, ["run"], key, k, ("ox", "oy"), tree).withColumnsRenamed({"x": "gx", "y": "gy"})
     local = world.select(*key, F.col("sx").alias("x"), F.col("sy").alias("y"),
                          F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"))
     found = pca_normals(local, ["run", "frame"], key, k, ("ox", "oy")).drop("x", "y")
@@ -56,19 +59,16 @@ def scan_normals(world: DataFrame, k: int, per_scan: bool = False) -> DataFrame:
                          (sin * F.col("normal_x") + cos * F.col("normal_y")).alias("normal_y"), "cornerness")
 
 
-def node_normals(nodes: DataFrame, normals: DataFrame, method: str, corner_threshold: float,
+def node_normals(nodes: DataFrame, normals: DataFrame, owners: DataFrame, method: str, corner_threshold: float,
                  group: list[str] = ("run",), order: list[str] = ("frame", "idx")) -> DataFrame:
-    """Normal and eikonal scale per node from the nearest scan point.
+    """Normal and eikonal scale per node from its owner, the nearest scan point.
 
     ``pca`` copies the normal, ``hybrid`` blends in the direction to the point near corners,
     ``weighted`` fades the scale out instead.  Nodes of runs without points get (0, 0) and scale 1.
     """
     group, order = list(group), list(order)
-    rows = normals.select(*group, *order, F.col("gx").alias("x"), F.col("gy").alias("y"),
-                          "normal_x", "normal_y", "cornerness")
-    tree = build_tree(rows, group, order, copies=1)
-    found = nearest(nodes.select(*group, "node", "x", "y"), ["node"], tree, 1, order,
-                    ["x", "y", "normal_x", "normal_y", "cornerness"])
+    source = normals.select(*group, *[F.col(c).alias(f"n_{c}") for c in (*order, "normal_x", "normal_y", "cornerness")])
+    found = owners.join(source, [*group, *[f"n_{c}" for c in order]])
     corner = clamp(F.col("n_cornerness") / corner_threshold, 0.0, 1.0)
     nx, ny, scale = F.col("n_normal_x"), F.col("n_normal_y"), F.lit(1.0)
     found = found.withColumn("corner", corner)

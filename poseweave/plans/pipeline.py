@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poseweave.functions.pose import apply, pose
-from poseweave.operators.gridmap import auto_grid, grid_nodes, init_from_scans, outside_share
+from poseweave.operators.gridmap import auto_grid, grid_nodes, init_from_scans, node_owners, outside_share, surface_tree
 from poseweave.operators.ordered import number_rows
 from poseweave.operators.relations import revisit_score
 from poseweave.operators.residuals import build_problem
@@ -48,11 +48,14 @@ def make_grids(points: DataFrame, poses: DataFrame, options: MapOptions) -> Data
         F.lit(step[0]).alias("dx"), F.lit(step[1]).alias("dy"))
 
 
-def starting_nodes(points: DataFrame, poses: DataFrame, grids: DataFrame, options: MapOptions) -> DataFrame:
+def starting_nodes(points: DataFrame, poses: DataFrame, grids: DataFrame, options: MapOptions, k: int = 1):
+    """The initial map, and the point tree and node owners when it was seeded from scans."""
     nodes = grid_nodes(grids, RUN, options.initial_value)
-    if options.init_from_scans:
-        nodes = init_from_scans(nodes, place(points, poses), RUN, ["frame", "idx"], options.init_signed)
-    return pin(nodes, "nodes")
+    if not options.init_from_scans:
+        return pin(nodes, "nodes"), None
+    tree = surface_tree(place(points, poses), RUN, ["frame", "idx"], k)
+    owners = node_owners(nodes, tree, RUN, ["frame", "idx"])
+    return pin(init_from_scans(nodes, owners, RUN, options.init_signed), "nodes"), (tree, owners)
 
 
 def effective_solver(options: SolverOptions) -> SolverOptions:
@@ -68,10 +71,10 @@ def run_batch(points: DataFrame, poses: DataFrame, config: RunConfig, relations:
     start = poses if initial is None else pin(initial.select(*POSE_COLUMNS), "poses")
     if initial is not None and start.count() != poses.count():
         raise ValueError("initial_poses count != scan count")
-    nodes = starting_nodes(points, start, grids, config.map)
+    nodes, surface = starting_nodes(points, start, grids, config.map, max(2, config.problem.normals.k_neighbors))
     options = effective_solver(config.solver)
     problem = build_problem(points, nodes, start, odometry(poses, RUN), grids, config.problem, relations,
-                            frozen=options.backend == "ceres")
+                            frozen=options.backend == "ceres", surface=surface)
     nodes, start, control = solve(problem, nodes, start, options)
     return Result(nodes, start, control, grids)
 
@@ -112,7 +115,7 @@ def run_incremental(points: DataFrame, poses: DataFrame, config: RunConfig, rela
     grids = pin(make_grids(points, poses, config.map), "grids")
     motions = pin(odometry(poses, RUN), "motions")
     first = poses.where("frame = 0")
-    nodes = starting_nodes(points.where("frame = 0"), first, grids, config.map)
+    nodes, _ = starting_nodes(points.where("frame = 0"), first, grids, config.map)
     last_frame = poses.agg(F.max("frame")).first()[0]
     estimate, total, reached, increment = first, None, 1, 0
     while reached <= last_frame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from poseweave.functions.linalg import shown
+from poseweave.operators.gridmap import init_from_scans
 from poseweave.operators.ordered import number_rows
 from poseweave.operators.residuals import (Hallucination, Normals, ProblemOptions, active_nodes, build_problem, cost,
                                            evaluate_eikonal, evaluate_links, evaluate_points, normal_equations,
@@ -10,9 +11,10 @@ from poseweave.operators.residuals import (Hallucination, Normals, ProblemOption
 from poseweave.operators.trajectory import odometry
 from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
-from poseweave.plans.queries_grid import GRIDS, NORMALS, OWNER, SLOPES, initial_map, map_inputs
+from poseweave.plans.queries_grid import GRIDS, NORMALS, OWNER, SLOPES, map_inputs, surface_inputs
 from poseweave.plans.solve import SolverOptions, solve
 from poseweave.plans.sqltext import MOTIONS, NODES, SCANS, integrated, r
+from poseweave.session import pin
 
 OPTIONS = ProblemOptions(hallucination=Hallucination(2, 0.1, True), normals=Normals("weighted", 6, False, 0.2),
                          huber_delta=0.5)
@@ -21,10 +23,12 @@ POINT_COLUMNS = ["r", "d_00", "d_10", "d_01", "d_11", "d_x", "d_y", "d_theta"]
 
 def problem(spark, sf_dir, options=OPTIONS, frozen=False):
     """The problem of every run: measured motions come from the drifted estimate."""
-    world, trajectory, grid, nodes = initial_map(spark, sf_dir)
+    world, trajectory, grid, blank, tree, owners = surface_inputs(spark, sf_dir, options.normals.k_neighbors)
+    nodes = pin(init_from_scans(blank, owners, ["run"]), "nodes")
     points = world.select("run", "frame", "idx", "sx", "sy")
     measured = odometry(T.drifted(spark, sf_dir), ["run"])
-    return build_problem(points, nodes, trajectory, measured, grid, options, frozen=frozen), nodes, trajectory
+    made = build_problem(points, nodes, trajectory, measured, grid, options, frozen=frozen, surface=(tree, owners))
+    return made, nodes, trajectory
 
 
 _BASE = MOTIONS + ",\n" + integrated("poses") + ",\n" + integrated("drift", "dtheta * CAST(1.02 AS DOUBLE)") + ",\n" + SCANS

@@ -24,11 +24,19 @@ def map_inputs(spark, sf_dir):
     return world, trajectory, G.auto_grid(world, trajectory, RUN, NX, NY, MARGIN)
 
 
+def surface_inputs(spark, sf_dir, k=1):
+    """World points, poses, grids, blank nodes, the point tree and the owner of every node."""
+    world = pin(T.world(spark, sf_dir), "world")
+    trajectory = pin(T.poses(spark, sf_dir), "poses")
+    grid = pin(G.auto_grid(world, trajectory, RUN, NX, NY, MARGIN), "grids")
+    blank = G.grid_nodes(grid, RUN)
+    tree = G.surface_tree(world, RUN, ["frame", "idx"], k)
+    return world, trajectory, grid, blank, tree, G.node_owners(blank, tree, RUN, ["frame", "idx"])
+
+
 def initial_map(spark, sf_dir):
-    world, trajectory, grid = map_inputs(spark, sf_dir)
-    world, grid = pin(world, "world"), pin(grid, "grids")
-    nodes = G.init_from_scans(G.grid_nodes(grid, RUN), world, RUN, ["frame", "idx"])
-    return world, trajectory, grid, pin(nodes, "nodes")
+    world, trajectory, grid, blank, _, owners = surface_inputs(spark, sf_dir)
+    return world, trajectory, grid, pin(G.init_from_scans(blank, owners, RUN), "nodes")
 
 
 @query("domain_bounds", f"""WITH {WORLD}, {GRIDS}
@@ -285,9 +293,8 @@ SELECT b.run, CAST(b.node AS BIGINT) AS node, {r('coalesce(ax, 0)', 'normal_x')}
        {r(f'coalesce({scale}, 1)', 'eikonal_scale')}
 FROM blank b LEFT JOIN owner2 o ON o.run = b.run AND o.node = b.node""")
     def build(spark, sf_dir):
-        world, _, grid = map_inputs(spark, sf_dir)
-        world = pin(world, "world")
-        out = node_normals(G.grid_nodes(grid, RUN), scan_normals(world, 6), method, 0.2)
+        world, _, _, blank, tree, owners = surface_inputs(spark, sf_dir, k=6)
+        out = node_normals(blank, scan_normals(world, 6, tree=tree), owners, method, 0.2)
         return out.select("run", "node", *[shown(F.col(c)).alias(c) for c in ("normal_x", "normal_y", "eikonal_scale")])
 
 

@@ -39,7 +39,7 @@ def stream_incremental(spark: SparkSession, folder: str, first_poses: DataFrame,
         session = batch.sparkSession
         if batch_id == 0:
             points, poses, total = batch, first_poses, None
-            nodes = starting_nodes(batch.where("frame = 0"), first_poses, grids, config.map)
+            nodes, _ = starting_nodes(batch.where("frame = 0"), first_poses, grids, config.map)
         else:
             old = read(session, batch_id - 1)
             points, poses, nodes, total = old["points"].unionByName(batch), old["poses"], old["nodes"], old["total"]
