@@ -293,11 +293,10 @@ def guard(candidates: DataFrame, max_residual: float = 0.15, min_inliers: int =
 def residual_weights(relations: DataFrame, cap: float = 4.0) -> DataFrame:
     """Weight (median σ / σ)² with σ floored at 1e-6, clamped to [1/cap, cap]; the median is global."""
     floored = relations.withColumn("_sigma", F.greatest(F.col("residual"), F.lit(1e-6)))
-    middle = quantiles(floored, [], "_sigma", {"_median": 0.5})
-    ratio = F.col("_median") / F.col("_sigma")
-    # One row on the right: the global median.
-    return floored.crossJoin(F.broadcast(middle)).withColumn("weight", clamp(ratio * ratio, 1.0 / cap, cap)).drop(
-        "_sigma", "_median")
+    # The global median is one number, so it becomes a literal.
+    found = quantiles(floored, [], "_sigma", {"median": 0.5}).first()
+    ratio = F.lit(found["median"] if found else None) / F.col("_sigma")
+    return floored.withColumn("weight", clamp(ratio * ratio, 1.0 / cap, cap)).drop("_sigma")
 
 
 def build_relations(points: DataFrame, poses: DataFrame, pairs: DataFrame, weighted: bool = False,
