@@ -11,9 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from poseweave.plans.catalog import load_all  # noqa: E402
 from poseweave.session import local_session  # noqa: E402
 
-HEADLINE = ["endpoint_occupancy", "trajectory_metrics", "gap_motions", "map_from_scans", "map_samples", "nearest_points",
-            "scan_normals", "select_pairs", "revisit_scores", "thinned_frames", "gauge_gaps", "problem_cost",
-            "normal_matrix", "map_and_pose_refinement", "log_relations", "streamed_trajectory"]
+HEADLINE = ["endpoint_occupancy", "trajectory_metrics", "gap_motions", "map_from_scans", "nearest_points", "scan_normals",
+            "select_pairs", "revisit_scores", "thinned_frames", "normal_matrix", "map_and_pose_refinement",
+            "streamed_trajectory"]
 
 
 def main() -> None:

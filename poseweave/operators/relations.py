@@ -89,7 +89,7 @@ def revisit_pairs(poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
 
 
 def revisit_distances(world: DataFrame, poses: DataFrame, min_gap: int, radius: float,
-                      max_pool: int = 1_000_000) -> DataFrame:
+                      max_pool: int = 50_000) -> DataFrame:
     """Distance of every point of frame j to the nearest point of its revisited old frames.
 
     ``world`` is ``(run, frame, idx, gx, gy)``.  Frames with a small pool of old points use it
@@ -300,9 +300,9 @@ def residual_weights(relations: DataFrame, cap: float = 4.0) -> DataFrame:
 
 
 def build_relations(points: DataFrame, poses: DataFrame, pairs: DataFrame, weighted: bool = False,
-                    max_iterations: int = 200, **guards) -> tuple[DataFrame, DataFrame]:
+                    max_iterations: int = 200, max_correspondence: float = 1.0, **guards) -> tuple[DataFrame, DataFrame]:
     """Align all pairs, apply the guards and weigh the survivors: (relations, drop counts)."""
-    aligner = Aligner(points)
+    aligner = Aligner(points, max_correspondence)
     start = pin(seeds(pairs, poses), "seeds")
     aligned = pin(aligner.align(start, max_iterations), "aligned")
     seen = start.select(*PAIR, *[F.col(m).alias(f"seed_{m}") for m in MOTION]).join(aligned, PAIR).join(
@@ -326,15 +326,15 @@ def score_relations(relations: DataFrame, poses: DataFrame) -> DataFrame:
 
 
 def refine_odometry(points: DataFrame, poses: DataFrame, motions: DataFrame, max_residual: float = 0.1,
-                    min_inliers: int = 50, min_observability: float = 0.15,
-                    max_iterations: int = 200) -> tuple[DataFrame, DataFrame]:
+                    min_inliers: int = 50, min_observability: float = 0.15, max_iterations: int = 200,
+                    max_correspondence: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Replace trusted wheel motions by aligned ones and integrate: (poses, refined counts).
 
     Observability is judged on all normals of the earlier scan.
     """
     from poseweave.operators.trajectory import append_frames
 
-    aligner = Aligner(points)
+    aligner = Aligner(points, max_correspondence)
     aligned = aligner.align(motions, max_iterations).select(
         *PAIR, *[F.col(m).alias(f"icp_{m}") for m in MOTION], "residual", "inliers")
     seen = motions.join(aligned, PAIR).join(

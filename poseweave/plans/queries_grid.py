@@ -26,8 +26,8 @@ def map_inputs(spark, sf_dir):
 
 def surface_inputs(spark, sf_dir, k=1):
     """World points, poses, grids, blank nodes, the point tree and the owner of every node."""
-    world = pin(T.world(spark, sf_dir), "world")
     trajectory = pin(T.poses(spark, sf_dir), "poses")
+    world = pin(T.to_world(T.scans(spark, sf_dir), trajectory, ["scan"]).drop("scan"), "world")
     grid = pin(G.auto_grid(world, trajectory, RUN, NX, NY, MARGIN), "grids")
     blank = G.grid_nodes(grid, RUN)
     tree = G.surface_tree(world, RUN, ["frame", "idx"], k)

@@ -155,7 +155,7 @@ def icp_relations(spark, sf_dir):
     trajectory = pin(T.poses(spark, sf_dir), "poses")
     pairs = L.select_pairs(trajectory, MIN_GAP, RADIUS, 1)
     kept, _ = L.build_relations(T.frame_scans(spark, sf_dir), trajectory, pairs, weighted=True, max_iterations=5,
-                                max_residual=1.0, min_inliers=3, min_observability=0.0, max_seed_shift=5.0, max_seed_rotation=90.0)
+                                max_correspondence=20.0, max_residual=3.0, min_inliers=3, min_observability=0.0, max_seed_shift=30.0, max_seed_rotation=180.0)
     return kept
 
 
@@ -163,8 +163,8 @@ def icp_relations(spark, sf_dir):
 def icp_odometry(spark, sf_dir):
     """Poses integrated from wheel motions, replaced by aligned ones where the guards allow it."""
     trajectory = pin(T.poses(spark, sf_dir), "poses")
-    out, _ = L.refine_odometry(T.frame_scans(spark, sf_dir), trajectory, odometry(trajectory, ["run"]), max_residual=0.5,
-                               min_inliers=3, min_observability=0.0, max_iterations=3)
+    out, _ = L.refine_odometry(T.frame_scans(spark, sf_dir), trajectory, odometry(trajectory, ["run"]), max_residual=2.0,
+                               max_correspondence=15.0, min_inliers=3, min_observability=0.0, max_iterations=3)
     return out
 
 
