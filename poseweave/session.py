@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_pinned: list[str] = []
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "poseweave") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
@@ -29,20 +30,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pos
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder intermediate tables are written to.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session, where every task
-    sees the same disk, may fall back to a fresh temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a folder below the session's
+    warehouse is used: the warehouse is always set and, like the inputs, seen by every executor.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    fresh = tempfile.mkdtemp(prefix="poseweave-")
-    spark.sparkContext.setCheckpointDir(fresh)
-    return spark.sparkContext.getCheckpointDir()
+    named = named or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pinned"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -56,5 +49,21 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     executors) and hands the next stage exact table sizes.
     """
     path = new_path(df.sparkSession, label)
+    _pinned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pinned_paths() -> list[str]:
+    """Folders written by ``pin`` and not yet removed, oldest first."""
+    return list(_pinned)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove pinned tables, all by default.  Call it when the frames read from them have been consumed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in list(_pinned) if paths is None else paths:
+        where = hadoop(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _pinned:
+            _pinned.remove(path)
