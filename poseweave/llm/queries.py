@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from poseweave.llm.common import table
+from poseweave.llm.mixing import mix
+from poseweave.llm.packing import pack
 from poseweave.llm.tokenfile import token_index, write_tokens
 from poseweave.session import new_path
 
@@ -30,3 +33,16 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return token_index(spark, path)
+
+
+@query("op7_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into windows of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents")).drop("piece")
+
+
+@query("op9_source_mix")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to weights 1, 2, 3 over the sources."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -33,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         encode_text, tail = encoder(vocabulary).ids, end_id.to_bytes(4, "little")
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text")
-            for start, rows in _by_size(texts):
+            for start, rows in by_size(texts):
                 yield _lists(keys.slice(start, len(rows)), [encode_text(t) + tail for t in rows])
 
     if encoding not in ("dictionary", "delta"):
@@ -47,7 +47,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     out.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
-def _by_size(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def by_size(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``limit`` characters, with the number of the first."""
     first, rows, size = 0, [], 0
     for k, text in enumerate(texts):

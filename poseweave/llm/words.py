@@ -19,6 +19,10 @@ UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(33)
 
+# Fixed value: the bytes that separate words.
+IS_LETTER = np.ones(256, dtype=bool)
+IS_LETTER[[32, *range(9, 14)]] = False
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -116,3 +120,14 @@ def shingles(words: Words, size: int, whole_if_short: bool) -> tuple[np.ndarray,
             value = mixed(value * BASE + h[first[t] + k: first[t] + k + 1])
         out[bounds[t]] = value[0]
     return out, bounds
+
+
+def count_words(texts: list[str | None]) -> np.ndarray:
+    """The number of words of every text; null has none."""
+    out = np.zeros(len(texts), dtype=np.int64)
+    for k, text in enumerate(texts):
+        if text:
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            letter = IS_LETTER[data]
+            out[k] = int(letter[0]) + np.count_nonzero(letter[1:] & ~letter[:-1])
+    return out
