@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from poseweave.llm import toxicity
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -46,3 +47,11 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to weights 1, 2, 3 over the sources."""
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op1_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents with a model fitted on the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))

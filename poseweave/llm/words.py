@@ -53,8 +53,13 @@ class Words:
     end: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
-    text_start: np.ndarray
     data: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of every word; shorter words have their own."""
+        stop = np.minimum(self.start + size, self.end)
+        return mixed((self.sums[stop] - self.sums[self.start]) * powers(UNBASE, len(self.data))[self.start] + np.uint64(size))
 
     def text(self, k: int, word_from: int, word_to: int) -> str:
         """The original text from one word of text ``k`` to another (exclusive)."""
@@ -62,12 +67,15 @@ class Words:
         return self.data[self.start[a]: self.end[b]].tobytes().decode("utf-8", "replace")
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Words of texts that lie one after the other in ``data``; text ``t`` is ``bounds[t]:bounds[t + 1]``."""
+def words_of(data: np.ndarray, bounds: np.ndarray, is_letter: np.ndarray = IS_LETTER) -> Words:
+    """Words of texts that lie one after the other in ``data``; text ``t`` is ``bounds[t]:bounds[t + 1]``.
+
+    ``is_letter`` has a flag for each byte: whether it belongs to a word.
+    """
     n = len(data)
     low = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
     letter = np.zeros(n + 2, dtype=bool)
-    letter[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    letter[1:-1] = is_letter[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[bounds] = True
     start = np.flatnonzero(letter[1:-1] & (~letter[:-2] | cut[:-1]))
@@ -75,27 +83,27 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=sums[1:])
     h = (sums[end] - sums[start]) * powers(UNBASE, n)[start]
-    return Words(start, end, mixed(h + (end - start).astype(np.uint64)), np.searchsorted(start, bounds), bounds, data)
+    return Words(start, end, mixed(h + (end - start).astype(np.uint64)), np.searchsorted(start, bounds), data, sums)
 
 
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
+def blocks(texts: list[str | None], is_letter: np.ndarray = IS_LETTER) -> Iterator[tuple[int, Words]]:
     """``(number of the block's first text, Words)`` over all texts; null is an empty text."""
     first, parts, size = 0, [], 0
     for k, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if parts and size + len(raw) > BLOCK_BYTES:
-            yield first, _block(parts)
+            yield first, _block(parts, is_letter)
             first, parts, size = k, [], 0
         parts.append(raw)
         size += len(raw)
     if parts:
-        yield first, _block(parts)
+        yield first, _block(parts, is_letter)
 
 
-def _block(parts: list[bytes]) -> Words:
+def _block(parts: list[bytes], is_letter: np.ndarray) -> Words:
     bounds = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) for p in parts], out=bounds[1:])
-    return words_of(np.frombuffer(b"".join(parts), dtype=np.uint8), bounds)
+    return words_of(np.frombuffer(b"".join(parts), dtype=np.uint8), bounds, is_letter)
 
 
 def shingles(words: Words, size: int, whole_if_short: bool) -> tuple[np.ndarray, np.ndarray]:
