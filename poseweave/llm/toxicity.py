@@ -22,7 +22,7 @@ from poseweave.llm.words import Words, blocks, mixed
 #: Bound of the labelled sample: rows of each class, the first in a seeded order.
 SAMPLE_ROWS = 16_384
 #: Weight of the prior in words of the pooled distribution, evidence (z) and log-odds a word needs, and most words of a model.
-PRIOR_WORDS = 2_000.0
+PRIOR_WORDS = 20_000.0
 MIN_Z, MIN_ODDS, MOST_WORDS = 4.0, 1.0, 20_000
 #: Word beginnings, in bytes, that stand in for words without evidence of their own; the longest known counts.
 BEGINNINGS = (6, 4)
