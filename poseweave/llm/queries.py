@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import toxicity
+from poseweave.llm import jaccard, toxicity
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -55,3 +55,9 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op8_jaccard_links")
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents whose three-word shingle sets are alike to 0.9."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
