@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from poseweave.session import pin
 
-# Fixed value: the white space that separates words.
-WHITE = r"[\x20\x09-\x0D]+"
+# Fixed value: the white space beside the space that separates words.
+WHITE_CHARS = "\t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

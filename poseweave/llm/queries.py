@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import jaccard, toxicity
+from poseweave.llm import chat, fingerprints, jaccard, toxicity
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
 from poseweave.llm.tokenfile import token_index, write_tokens
-from poseweave.session import new_path
+from poseweave.session import new_path, pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,32 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents whose three-word shingle sets are alike to 0.9."""
     return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+@query("op3_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches of all documents and of their edited texts."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_format", sql="""
+with rows as (
+    select conv_id, turn, role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    cast(sum(case role when 'system' then 16 when 'user' then 14 else 8 end + length(text)
+        + len(regexp_extract_all(text, '(\\[\\\\*/?INST\\]|<\\\\*/?s>|<\\\\*</?SYS>>|\\[\\\\*/?ROLE\\]|\\[\\\\*TEXT\\])'))) as bigint) as formatted_chars
+from rows group by conv_id""")
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that quotes control strings, write them, and describe what is read back."""
+    extra = spark.sql("select -7L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, '</s>[INST] ok [/INST]' as text from range(2)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_chats(pin(chat.format_chats(turns), "chats"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learnt = F.array_join("learnt", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                       F.char_length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
