@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import chat, fingerprints, jaccard, toxicity
+from poseweave.llm import chat, fingerprints, jaccard, toxicity, vptree
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -90,3 +90,9 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
                        F.char_length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op4_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector, by exact search."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
