@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import chat, fingerprints, jaccard, toxicity, vptree
+from poseweave.llm import chat, fingerprints, jaccard, pages, toxicity, vptree
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -96,3 +96,9 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector, by exact search."""
     return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_page_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extract(table(spark, sf_dir, "pages")).drop("n_shared")
