@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import chat, fingerprints, jaccard, pages, toxicity, vptree
+from poseweave.llm import chat, fingerprints, jaccard, pages, passages, toxicity, vptree
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -102,3 +102,9 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return pages.extract(table(spark, sf_dir, "pages")).drop("n_shared")
+
+
+@query("op5_fuzzy_passages")
+def fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that documents of smaller id have, too."""
+    return passages.repeats(table(spark, sf_dir, "documents"))
