@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +56,25 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id") -> Data
         edges = fresh
     return nodes.select(node).distinct().join(edges.select(F.col("u").alias(node), "v"), node, "left").select(
         node, F.coalesce("v", node).alias("component"))
+
+
+def with_text_columns(docs: DataFrame, compute: Callable[[list[str | None]], dict[str, list]], fields: dict[str, str]) -> DataFrame:
+    """``docs`` with columns computed from batches of ``text``, all in one pass.
+
+    ``fields`` has the name and type of each new column; columns of the same name are replaced.  Any names may occur in ``docs``: columns
+    travel by number.
+    """
+    names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = compute(batch.column("_text").to_pylist())
+            kept = [batch.column(k) for k in range(len(names))]
+            made = [new[name] if isinstance(new[name], pa.Array) else pa.array(new[name]) for name in fields]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [*map(str, range(len(names))), *(f"_{k}" for k in range(len(made)))])
+
+    raw = docs.select(*(docs[f"`{c}`"].alias(str(k)) for k, c in enumerate(names)), docs["text"].alias("_text"))
+    given = [f"`{k}` {kind}" for k, kind in enumerate(kinds)] + [f"`_{k}` {kind}" for k, kind in enumerate(fields.values())]
+    out = raw.mapInArrow(run, ", ".join(given))
+    kept = [F.col(str(k)).alias(c) for k, c in enumerate(names) if c not in fields]
+    return out.select(*kept, *(F.col(f"_{k}").alias(c) for k, c in enumerate(fields)))

@@ -230,3 +230,14 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     owner = pin(owner.select("doc_id", "n", F.coalesce("component", "rep", "row").alias("class")), "classes")
     smallest = owner.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return owner.join(smallest, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each class; all columns stay as they are.
+
+    Rows of one id with equal text count as one, and one of them stays.  Rows with a null id stay.
+    """
+    kept = link(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"))
+    named = rows.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return named.unionByName(rows.where("doc_id is null")).select("_row.*")

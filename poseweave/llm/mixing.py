@@ -6,15 +6,12 @@ to take, and documents of a length are taken in a seeded order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poseweave.llm.common import ordered
+from poseweave.llm.common import ordered, with_text_columns
 from poseweave.llm.words import count_words
 from poseweave.session import pin
 
@@ -26,17 +23,7 @@ SEARCH_WORDS = 1 << 16
 
 def sized(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size``, the number of words of ``text``; null text has none."""
-    names = docs.columns
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pa.array(count_words(batch.column("_text").to_pylist()))
-            kept = [batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, sizes], [*map(str, range(len(names))), "size"])
-
-    raw = docs.select(*(docs[f"`{c}`"].alias(str(k)) for k, c in enumerate(names)), docs["text"].alias("_text"))
-    fields = ", ".join(f"`{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    return raw.mapInArrow(count, f"{fields}, size long").select(*(F.col(str(k)).alias(c) for k, c in enumerate(names)), "size")
+    return with_text_columns(docs, lambda texts: {"size": count_words(texts)}, {"size": "long"})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -109,17 +96,19 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, search: int = S
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0,
-        size: Column | None = None) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, row)``, one row per row of ``docs``.
+def _keys():
+    return (F.xxhash64("doc_id", "source", "text").alias("key_a"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("key_b"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, key_a, key_b)``, one row per row of ``docs``.
 
     ``docs`` needs ``doc_id``, ``source`` and ``text``.  ``copies`` (0 to ``most``) says how often the mix takes the
-    document.  Null texts have size 0; a source without words has target 0; repeated rows are documents of their own.
-    The choice depends on rows and seed only.
+    document.  Null texts have size 0; a source without words has target 0; repeated rows are documents of their own and
+    share their keys, the hashes of the three columns.  The choice depends on rows and seed only.
     """
-    base = docs.select("doc_id", "source", "text") if size is None else docs.select("doc_id", "source", size.alias("size"))
-    base = sized(base).drop("text") if size is None else base
-    base = pin(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    base = sized(docs.select("doc_id", "source", "text", *_keys())).drop("text")
+    base = pin(base, "sizes")
     wanted = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     # A group holds one row per length of a source, at most as many as its longest document has words.
     lengths = base.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -138,10 +127,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         picks, "source string, size long, source_size long, target double, whole long, extra long")
     keys = ["_null", "_source", "size"]
     plain = {"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))}
-    rows = ordered(base.withColumns(plain | {"_order": F.xxhash64("doc_id", F.lit(seed))}), [*keys, "_order", "doc_id"], "mix-order")
+    rows = ordered(base.withColumns(plain | {"_order": F.xxhash64("doc_id", F.lit(seed))}), [*keys, "_order", "doc_id", "key_a"], "mix-order")
     first = rows.groupBy(*keys).agg(F.min("_row").alias("_first"))
     some = first.join(chosen.withColumns(plain).drop("source", "source_size", "target"), keys, "left")
     all_targets = wanted.withColumns(plain).drop("source")
     copies = F.coalesce(F.col("whole") + F.when(F.col("_row") - F.col("_first") < F.col("extra"), 1).otherwise(0), F.lit(0))
     return rows.join(some, keys).join(all_targets, ["_null", "_source"]).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "row")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "key_a", "key_b")
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; all columns stay as they are."""
+    copies = mix(docs, weights, most, seed).groupBy("key_a", "key_b").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *_keys())
+    # Rows alike in id, source and text share one sum of copies, given to one of them.
+    rows = rows.join(copies, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poseweave.llm.common import with_text_columns
 from poseweave.llm.words import Words, blocks, mixed
 
 #: Bound of the labelled sample: rows of each class, the first in a seeded order.
@@ -240,3 +241,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {SEGMENTS}, score double")
     passages = F.filter("passages", lambda p: p["expected"] <= MOST_EXPECTED)
     return rows.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", passages.alias("passages"))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``; all columns stay as they are."""
+    def run(texts: list[str | None]) -> dict[str, list]:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        return {"_score": [model.probability(s) for s in next(_segments(iter([batch]), model, [])).column("surprise").to_pylist()]}
+
+    return with_text_columns(docs, run, {"_score": "double"}).where(F.col("_score") < threshold).drop("_score")
