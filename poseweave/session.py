@@ -62,7 +62,7 @@ def pinned_paths() -> list[str]:
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Remove pinned tables, all by default.  Call it when the frames read from them have been consumed."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in list(_pinned) if paths is None else paths:
+    for path in list(_pinned if paths is None else paths):
         where = hadoop(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         if path in _pinned:
