@@ -50,6 +50,22 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def bitmap_size(n: int) -> int:
+    return max(BITMAP, 1 << max(0, n // 2 - 1).bit_length())
+
+
+def parity(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Bit k says whether an odd number of tokens have k as their last bits: a bitmap of half the size is the two halves' difference."""
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=bounds[1:])
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]).view(np.int64)))
+
+
 def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     """The most frequent shingles over all texts.  They only shape the order, which may be any: results do not depend on them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,34 +96,34 @@ def prefix_length(n: int, percent: int, extra: int) -> int:
 
 
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(doc_id, row, n, d1, d2, b0…b3, prefix)`` of every row, pinned; ``row`` is unique, equal sets have equal digests."""
+    """``(doc_id, row, n, d1, d2, b0…b3, bits, prefix)`` of every row, pinned; ``row`` is unique, equal sets have equal digests.
+
+    ``b0…b3`` is a parity bitmap of 256 bits, ``bits`` one of at least half as many bits as the set has tokens.
+    """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heavy.value
         for batch in batches:
-            n, digests, lanes, prefixes = [], [], [], []
+            n, digests, lanes, bits, prefixes = [], [], [], [], []
             for tokens in token_sets(batch.column("text").to_pylist(), size):
                 n.append(len(tokens))
                 digests.append(digest(tokens))
-                odd = np.bincount((tokens & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                lanes.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                lanes.append(parity(tokens, BITMAP))
+                bits.append(parity(tokens, bitmap_size(len(tokens))))
                 at = np.minimum(np.searchsorted(last, tokens), max(len(last) - 1, 0))
                 is_last = last[at] == tokens if len(last) else np.zeros(len(tokens), dtype=bool)
                 extra = max(spread(c) for c in size_classes(len(tokens), percent))
                 # Tokens that only equal or unlike sets share are of no use: below 9 of 10 alike there is no other link.
                 keep = prefix_length(len(tokens), percent, extra) if len(tokens) > 1 else 0
                 prefixes.append(np.concatenate([tokens[~is_last], tokens[is_last]])[:keep].view(np.int64))
-            bounds = np.zeros(len(prefixes) + 1, dtype=np.int32)
-            np.cumsum([len(p) for p in prefixes], out=bounds[1:])
-            flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
             d, b = np.array(digests, dtype=np.int64).reshape(-1, 2), np.array(lanes, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array(n, dtype=np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]),
-                 *(pa.array(b[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))],
-                ["doc_id", "n", "d1", "d2", *LANES, "prefix"])
+                 *(pa.array(b[:, k]) for k in range(4)), lists(bits), lists(prefixes)],
+                ["doc_id", "n", "d1", "d2", *LANES, "bits", "prefix"])
 
-    fields = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, prefix array<long>"
+    fields = "doc_id long, n long, d1 long, d2 long, b0 long, b1 long, b2 long, b3 long, bits array<long>, prefix array<long>"
     rows = docs.select("doc_id", "text").mapInArrow(describe, fields)
     return pin(rows.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
@@ -154,6 +170,20 @@ def differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in LANES), F.lit(0))
 
 
+def roomy(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose larger bitmaps leave room, too; where one is twice as long it is folded."""
+    one, two = (sets.select(F.col("row").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits")) for k in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    short = F.least(F.size("a_bits"), F.size("b_bits"))
+
+    def folded(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, 1, short), F.slice(name, short + 1, short), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > short, halves).otherwise(F.col(name))
+
+    apart = F.aggregate(F.zip_with(folded("a_bits"), folded("b_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select(*pairs.columns)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(a, b)`` of the pairs whose sets are alike enough."""
     left, right = (sets.select(F.col("row").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in "ab")
@@ -162,23 +192,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, all_sets: DataFrame, size: int) -> DataFrame:
-    """``(row, tokens)`` of the wanted rows: only their texts are hashed again.  Pinned."""
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(row, tokens)`` of the wanted ``(row, doc_id, d1, d2)``: only their texts are hashed again.  Pinned."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(token_sets(batch.column("text").to_pylist(), size))
-            d = np.array([digest(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-            bounds = np.zeros(len(sets) + 1, dtype=np.int32)
-            np.cumsum([len(s) for s in sets], out=bounds[1:])
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(
-                pa.array(bounds), pa.array(flat))], ["d1", "d2", "tokens"])
-
-    rows = all_sets.select("row", "doc_id", "d1", "d2").join(wanted, "row")
+            want = zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True)
+            # Rows of one id may have other texts.
+            same = [k for k, (s, d) in enumerate(zip(sets, want, strict=True)) if digest(s) == d]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(same, pa.int64())), lists([sets[k] for k in same])], ["row", "tokens"])
+
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
-    texts = docs.select(key, "text").join(rows.select(key).distinct(), "_id").select("text")
-    sets = texts.mapInArrow(expand, "d1 long, d2 long, tokens array<long>").dropDuplicates(["d1", "d2"])
-    return pin(rows.select("row", "d1", "d2").join(sets, ["d1", "d2"]).select("row", "tokens"), "full-sets")
+    texts = docs.select(key, "text").join(wanted.select(key, "row", "d1", "d2"), "_id").select("text", "row", "d1", "d2")
+    return pin(texts.mapInArrow(expand, "row long, tokens array<long>"), "full-sets")
+
+
+def paired_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    rows = pin(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "paired-rows")
+    return full_sets(docs, pin(reps.select("row", "doc_id", "d1", "d2").join(rows, "row"), "paired-sets"), size)
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -189,18 +220,17 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     reachable over links, the row's own included; null ids never count as smallest.  Equal sets share one representative.
     """
     rows = described(docs, size, percent)
-    filled = rows.where("n > 0")
-    first = filled.groupBy("d1", "d2", "n").agg(F.min("row").alias("rep"))
-    sets = filled.join(first, ["d1", "d2", "n"]).where("row = rep").drop("rep")
-    entries = index_entries(sets, percent)
+    filled = rows.where("n > 0").select("row", "d1", "d2", "n")
+    first = pin(filled.groupBy("d1", "d2", "n").agg(F.min("row").alias("rep")), "distinct-sets")
+    reps = rows.join(first.select(F.col("rep").alias("row")), "row", "left_semi")
+    entries = index_entries(reps, percent)
 
     pivot = entries.groupBy("entry").agg(F.min(F.struct("row", "n", *LANES)).alias("p"))
     stars = entries.alias("e").join(pivot, "entry").where("p.row <> e.row").where(likely(percent, "p", "e"))
-    stars = pin(stars.select(F.col("p.row").alias("a"), F.col("e.row").alias("b")).distinct(), "star-pairs")
+    stars = stars.select(F.col("p.row").alias("a"), F.col("e.row").alias("b")).distinct()
+    stars = pin(roomy(stars, reps, percent), "star-pairs")
     near = entries.select("row").distinct()
-    links = None
-    texts = full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("row")).distinct(), rows, size)
-    links = pin(verified(stars, texts, percent), "links")
+    links = pin(verified(stars, paired_sets(docs, stars, reps, size), percent), "links")
     groups = pin(components(near, links, "row"), "groups")
 
     # Entries whose sets already form one class have nothing to add.
@@ -215,15 +245,15 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     order = (F.col("a.part") < F.col("b.part")) | (F.col("a.row") < F.col("b.row"))
     cross = a.join(b, [*same, F.col("a.component") != F.col("b.component"), order, likely(percent, "a", "b")]).select(
         F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b"), differing("a", "b").alias("apart"))
-    cross = pin(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = full_sets(docs, cross.select(F.explode(F.array("a", "b")).alias("row")).distinct(), rows, size)
+    cross = pin(roomy(cross.distinct().join(stars, ["a", "b"], "left_anti"), reps, percent), "cross-pairs")
+    texts = paired_sets(docs, cross, reps, size)
     # The nearest set of each other class first: most classes join by it, and pairs within a class need no look.
     best = cross.join(groups.withColumnRenamed("row", "b"), "b").groupBy("a", "component").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    links = pin(links.unionByName(verified(best, more, percent)), "links")
+    links = pin(links.unionByName(verified(best, texts, percent)), "links")
     groups = pin(components(near, links, "row"), "groups")
     ends = [groups.select(F.col("row").alias(k), F.col("component").alias(f"{k}_in")) for k in "ab"]
     rest = cross.join(best, ["a", "b"], "left_anti").join(ends[0], "a").join(ends[1], "b").where("a_in <> b_in")
-    links = links.unionByName(verified(rest, more, percent))
+    links = links.unionByName(verified(rest, texts, percent))
     groups = components(near, links, "row")
 
     owner = rows.join(first, ["d1", "d2", "n"], "left").join(groups.withColumnRenamed("row", "rep"), "rep", "left")
