@@ -78,3 +78,20 @@ def with_text_columns(docs: DataFrame, compute: Callable[[list[str | None]], dic
     out = raw.mapInArrow(run, ", ".join(given))
     kept = [F.col(str(k)).alias(c) for k, c in enumerate(names) if c not in fields]
     return out.select(*kept, *(F.col(f"_{k}").alias(c) for k, c in enumerate(fields)))
+
+
+#: Bits of the filter below: at most 2**20 rows of 64 bits are broadcast.
+FILTER_BITS = 1 << 26
+
+
+def perhaps_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids``, and a few others: a filter of fixed size ahead of an exact join.
+
+    Every id sets one bit of ``FILTER_BITS``; the words of the filter that are not zero, at most ``FILTER_BITS / 64`` whatever
+    the number of ids, are broadcast.  Rows of null ids go.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    mask = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    words = ids.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.bit_or(mask).alias("_mask"))
+    rows = df.where(F.col(column).isNotNull()).withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64))
+    return rows.join(F.broadcast(words), "_word").where(F.col("_mask").bitwiseAND(mask) != 0).drop("_word", "_bit", "_mask")
