@@ -82,7 +82,7 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
 def size_classes(n: int, percent: int) -> set[int]:
     """Powers of two of all set sizes that may be alike enough to ``n``."""
-    share = percent / 100 - 0.01
+    share, n = percent / 100 - 0.01, max(1, n)
     return {max(1, int(n * share)).bit_length() - 1, n.bit_length() - 1, (int(n / share) + 1).bit_length() - 1}
 
 
@@ -131,7 +131,8 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def index_entries(sets: DataFrame, percent: int) -> DataFrame:
     """``(entry, row, n, b0…b3)``: where each distinct set stands in the index; entries with one set are left out.  Pinned."""
     tokens = sets.select("row", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    # Written, so that the joins shuffle both sides themselves and the rows of a frequent key can be split.
+    shared = pin(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-tokens")
     tokens = pin(tokens.join(shared, "token"), "prefix-tokens")
     alone = tokens.where(F.col("sets") <= RARE_SETS).select(F.xxhash64("token").alias("entry"), "row")
     # At most one row per prefix token of a set, so a group is bounded by the longest text.
@@ -154,7 +155,8 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame({"entry": pd.Series(entries, dtype="int64"), "row": pd.Series(rows, dtype="int64")})
 
     entries = alone.unionByName(frequent.mapInPandas(pairs, "entry long, row long"))
-    held = entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1")
+    entries = pin(entries, "entries")
+    held = pin(entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1"), "held-entries")
     return pin(entries.join(held, "entry").join(sets.select("row", "n", *LANES), "row"), "index-entries")
 
 
@@ -225,7 +227,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     reps = rows.join(first.select(F.col("rep").alias("row")), "row", "left_semi")
     entries = index_entries(reps, percent)
 
-    pivot = entries.groupBy("entry").agg(F.min(F.struct("row", "n", *LANES)).alias("p"))
+    pivot = pin(entries.groupBy("entry").agg(F.min(F.struct("row", "n", *LANES)).alias("p")), "pivots")
     stars = entries.alias("e").join(pivot, "entry").where("p.row <> e.row").where(likely(percent, "p", "e"))
     stars = stars.select(F.col("p.row").alias("a"), F.col("e.row").alias("b")).distinct()
     stars = pin(roomy(stars, reps, percent), "star-pairs")
