@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     plain = {"_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))}
     rows = ordered(base.withColumns(plain | {"_order": F.xxhash64("doc_id", F.lit(seed))}), [*keys, "_order", "doc_id", "key_a"], "mix-order")
     first = rows.groupBy(*keys).agg(F.min("_row").alias("_first"))
-    some = first.join(chosen.withColumns(plain).drop("source", "source_size", "target"), keys, "left")
+    # Written, so that the join below shuffles both sides itself and a length with very many documents can be split.
+    some = pin(first.join(chosen.withColumns(plain).drop("source", "source_size", "target"), keys, "left"), "mix-picks")
     all_targets = wanted.withColumns(plain).drop("source")
     copies = F.coalesce(F.col("whole") + F.when(F.col("_row") - F.col("_first") < F.col("extra"), 1).otherwise(0), F.lit(0))
     return rows.join(some, keys).join(all_targets, ["_null", "_source"]).select(
