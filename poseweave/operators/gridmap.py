@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poseweave.functions.grid import (GRID_COLUMNS, bilinear_weights, blend, grid_columns, in_domain, locate,
-                                      node_position, patch_gradient)
+from poseweave.functions.grid import GRID_COLUMNS, blend, grid_columns, in_domain, locate, node_position, patch_gradient
 from poseweave.operators.neighbors import CellTree, build_tree, nearest
 from poseweave.session import pin
 
@@ -213,7 +212,3 @@ def zoom_box(nodes: DataFrame, grids: DataFrame, trajectory: DataFrame, group: l
                       F.least(F.col("hi_x") + pad, far_x).alias("x1"),
                       F.greatest(F.col("lo_y") - pad, "min_y").alias("y0"),
                       F.least(F.col("hi_y") + pad, far_y).alias("y1"))
-
-
-__all__ = ["auto_grid", "grid_nodes", "node_gradients", "patches", "sample", "probe_gradient", "upsample",
-           "init_from_scans", "hallucinate", "outside_share", "zoom_box", "bilinear_weights"]

@@ -13,45 +13,32 @@ from pyspark.sql.window import Window
 
 from poseweave.session import pin
 
-MAX_GROUP_ROWS = 2_000_000
 BLOCK_ROWS = 1 << 18
 
 
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-
-
-def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, total: str | None = None,
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
     """Dense 0-based row number per group, optionally with the group size.
 
-    Groups that fit a task use one window.  Otherwise the rows are range-partitioned by the full
-    order, that partition number is pinned, and counts of earlier partitions are added.
+    Rows are range-partitioned and sorted by group and order, so a group may span many partitions.  Each row is
+    written with its partition and its place there; what a group has in earlier partitions (one small row for each) is
+    added.  The result reads the written rows, so the input is read once however often the numbers are used.
     """
-    if not group:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    else:
-        keys = group
-    if largest_group(df, keys) <= max_group_rows:
-        ordered = Window.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn(name, F.row_number().over(ordered).cast("bigint") - 1)
-        if total:
-            out = out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        return out.drop("_all")
-
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
-    ranged = pin(ranged, "chunks")
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    keys = group or ["_all"]
+    rows = df if group else df.withColumn("_all", F.lit(0))
+    placed = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = pin(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_chunk", F.shiftright("_at", 33))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = sizes.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
-    out = (ranged.withColumn(name, F.row_number().over(local).cast("bigint") - 1)
-           .join(sizes, [*keys, "_chunk"])
-           .withColumn(name, F.col(name) + F.col("_base")))
+    sizes = placed.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], F.col("_chunk").alias("_in"),
+                         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"),
+                         F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    same = F.col("_chunk") == F.col("_in")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{n}"))
+    out = placed.join(sizes, same).withColumn(name, F.col("_at") + F.col("_base"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_all", "_chunk", "_base", "_total")
+    return out.drop("_all", "_at", "_chunk", "_in", "_base", "_total", *[f"_key{n}" for n in range(len(keys))])
 
 
 def block_of(frame: str, rows: int = BLOCK_ROWS) -> Column:
@@ -92,12 +79,11 @@ def look_ahead(df: DataFrame, group: list[str], frame: str, gap: int, columns: d
             .drop("_back", "_block", "_ahead"))
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float],
-              max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, group: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles by rank, without gathering a group in one task."""
     keys = group or ["_one"]
     rows = (df if group else df.withColumn("_one", F.lit(0))).select(*keys, F.col(value).alias("_v"))
-    ranked = number_rows(rows.where("_v is not null"), keys, ["_v"], "_rank", "_n", max_group_rows)
+    ranked = number_rows(rows.where("_v is not null"), keys, ["_v"], "_rank", "_n")
     spots = [F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"))
              for name, q in wanted.items()]
     hits = (ranked.withColumn("_spot", F.explode(F.array(*spots)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from poseweave.functions.linalg import clamp, symmetric_eigen
-from poseweave.functions.pose import Pose, apply, compose, pose, pose_error, relative
+from poseweave.functions.pose import Pose, apply, pose, pose_error, relative
 from poseweave.operators.neighbors import CellTree, build_tree, nearest
 from poseweave.operators.normals import pca_normals
 from poseweave.operators.ordered import quantiles
@@ -291,12 +291,11 @@ def guard(candidates: DataFrame, max_residual: float = 0.15, min_inliers: int =
 
 
 def residual_weights(relations: DataFrame, cap: float = 4.0) -> DataFrame:
-    """Weight (median σ / σ)² with σ floored at 1e-6, clamped to [1/cap, cap]; the median is global."""
+    """Weight (median σ / σ)² with σ floored at 1e-6, clamped to [1/cap, cap]; the median is that of the run."""
     floored = relations.withColumn("_sigma", F.greatest(F.col("residual"), F.lit(1e-6)))
-    # The global median is one number, so it becomes a literal.
-    found = quantiles(floored, [], "_sigma", {"median": 0.5}).first()
-    ratio = F.lit(found["median"] if found else None) / F.col("_sigma")
-    return floored.withColumn("weight", clamp(ratio * ratio, 1.0 / cap, cap)).drop("_sigma")
+    middle = quantiles(floored, ["run"], "_sigma", {"_median": 0.5})
+    ratio = F.col("_median") / F.col("_sigma")
+    return floored.join(middle, "run").withColumn("weight", clamp(ratio * ratio, 1.0 / cap, cap)).drop("_sigma", "_median")
 
 
 def build_relations(points: DataFrame, poses: DataFrame, pairs: DataFrame, weighted: bool = False,
@@ -346,6 +345,3 @@ def refine_odometry(points: DataFrame, poses: DataFrame, motions: DataFrame, max
     first = poses.where(F.col("frame") == 0).select("run", "frame", "x", "y", "theta")
     counts = chosen.groupBy("run").agg(F.count_if("refined").alias("refined"), F.count(F.lit(1)).alias("pairs"))
     return append_frames(first, chosen, ["run"]), counts
-
-
-__all__ = ["compose"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,16 +14,24 @@ from poseweave.session import pin
 
 def keep_frames(x: np.ndarray, y: np.ndarray, theta: np.ndarray, last: tuple[float, float, float] | None,
                 min_travel: float, min_turn: float) -> list[int]:
-    """Positions to keep in one ordered block, given the pose kept before it (None: keep the first)."""
-    kept = []
-    for n, (px, py, pt) in enumerate(zip(x.tolist(), y.tolist(), theta.tolist())):
-        if last is not None:
-            turn = pt - last[2]
-            if (math.hypot(px - last[0], py - last[1]) < min_travel
-                    and abs(math.atan2(math.sin(turn), math.cos(turn))) < min_turn):
-                continue
-        kept.append(n)
-        last = (px, py, pt)
+    """Positions to keep in one ordered block, given the pose kept before it (None: keep the first).
+
+    Jumps from one kept row to the next: slices of growing width are compared with the kept pose at once.
+    """
+    kept: list[int] = []
+    at, width = 0, 32
+    if last is None and len(x):
+        kept, at, last = [0], 1, (x[0], y[0], theta[0])
+    while at < len(x):
+        turn = np.remainder(theta[at: at + width] - last[2] + np.pi, 2 * np.pi) - np.pi
+        far = (np.hypot(x[at: at + width] - last[0], y[at: at + width] - last[1]) >= min_travel) | (np.abs(turn) >= min_turn)
+        if far.any():
+            at += int(np.argmax(far))
+            kept.append(at)
+            last, width = (x[at], y[at], theta[at]), 32
+            at += 1
+        else:
+            at, width = at + width, width * 2
     return kept
 
 
@@ -50,9 +56,12 @@ def decimate(poses: DataFrame, min_travel: float, min_turn: float, group: str =
         kept = keep_frames(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["theta"].to_numpy(), last, min_travel, min_turn)
         return pdf.iloc[kept][[group, frame, "_block", "x", "y", "theta"]]
 
+    kept, todo = None, carry
     while True:
-        # The carry is one row per block and joins on the block, so a long run stays spread out.
-        kept = pin(blocked.join(carry, key).groupBy(*key).applyInPandas(thin, schema), "kept")
+        # The carry is one row per block and joins on the block, so a long run stays spread out; only blocks
+        # whose carry has changed are thinned again.
+        thinned = blocked.join(todo, key).groupBy(*key).applyInPandas(thin, schema)
+        kept = pin(thinned if kept is None else kept.join(todo.select(*key), key, "left_anti").unionByName(thinned), "kept")
         ends = kept.groupBy(*key).agg(F.max_by(F.struct("x", "y", "theta"), frame).alias("_end"))
         every = carry.select(*key).join(ends, key, "left")
         before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,6 +72,7 @@ def decimate(poses: DataFrame, min_travel: float, min_turn: float, group: str =
         changed = fresh.join(carry.toDF(*key, "_ox", "_oy", "_ot"), key).where(
             ~(F.col("_cx").eqNullSafe(F.col("_ox")) & F.col("_cy").eqNullSafe(F.col("_oy"))
               & F.col("_ctheta").eqNullSafe(F.col("_ot"))))
-        if changed.limit(1).count() == 0:
+        todo = pin(changed.drop("_ox", "_oy", "_ot"), "carry")
+        if todo.limit(1).count() == 0:
             return kept.select(group, frame)
         carry = fresh

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poseweave.functions.pose import apply, pose
@@ -59,8 +59,8 @@ def starting_nodes(points: DataFrame, poses: DataFrame, grids: DataFrame, option
 
 
 def effective_solver(options: SolverOptions) -> SolverOptions:
-    """The frozen-cell backend always runs as a trust region."""
-    return replace(options, trust_region=True) if options.backend == "ceres" else options
+    """The frozen-cell backend runs as a trust region whose damping scales with the diagonal, λ being one over its radius."""
+    return replace(options, trust_region=True, marquardt_scaling=True) if options.backend == "ceres" else options
 
 
 def run_batch(points: DataFrame, poses: DataFrame, config: RunConfig, relations: DataFrame | None = None,
@@ -147,7 +147,7 @@ def write_outputs(result: Result, points: DataFrame, odometry_poses: DataFrame,
     write_lines(render_csv(result.poses, "run", "frame", columns), f"{folder}/text/poses_estimated")
     write_lines(render_csv(odometry_poses.select(*POSE_COLUMNS), "run", "frame", columns), f"{folder}/text/poses_odometry")
     write_lines(render_map(result.nodes, result.grids, "run"), f"{folder}/text/map")
-    rows = number_rows(world.select("run", "frame", "idx", F.round("gx", 9).alias("x"), F.round("gy", 9).alias("y")),
+    rows = number_rows(world.select("run", "frame", "idx", significant("gx").alias("x"), significant("gy").alias("y")),
                        RUN, ["frame", "idx"], "at")
     write_lines(render_csv(rows, "run", "at", ["x", "y"]), f"{folder}/text/scan_points_global")
     errors = trajectory_errors(result.poses, truth, RUN) if truth is not None else None
@@ -155,6 +155,12 @@ def write_outputs(result: Result, points: DataFrame, odometry_poses: DataFrame,
     return outside_share(world, result.grids, RUN)
 
 
+def significant(column: str, digits: int = 9) -> Column:
+    """A number rounded to so many significant digits."""
+    unit = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(F.col(column)))))
+    return F.when(F.col(column) == 0, 0.0).otherwise(F.rint(F.col(column) * unit) / unit)
+
+
 def run_config(spark: SparkSession, config: RunConfig) -> Result:
     """Load a dataset folder, estimate, and write the outputs the configuration asks for."""
     zero = F.lit(0).cast("bigint").alias("run")
@@ -183,15 +189,18 @@ def run_config(spark: SparkSession, config: RunConfig) -> Result:
 
 
 def stability_ensemble(points: DataFrame, poses: DataFrame, config: RunConfig, runs: int = 8, jitter: float = 1e-9,
-                       min_gap: int = 200, radius: float = 3.0, factor: float = 5.0) -> DataFrame:
+                       min_gap: int = 200, radius: float = 3.0, factor: float = 5.0, relations: DataFrame | None = None,
+                       initial: DataFrame | None = None) -> DataFrame:
     """Repeat a configuration with tiny damping changes and summarise the revisit medians per run.
 
-    A member without revisits scores infinity.
+    Every member runs the whole configuration, its relations and starting poses included.  A member without revisits
+    scores infinity.
     """
     scores = None
     for member in range(runs):
         changed = jittered(config, f"{config.output_dir}/run_{member}", member * jitter)
-        result = run_batch(points, poses, changed) if config.mode == "batch" else run_incremental(points, poses, changed)
+        result = (run_batch(points, poses, changed, relations, initial) if config.mode == "batch"
+                  else run_incremental(points, poses, changed, relations))
         score = revisit_score(place(points, result.poses), result.poses, min_gap, radius)
         row = poses.select("run").distinct().join(score, "run", "left").select(
             "run", F.lit(member).alias("member"), F.coalesce("median", F.lit(float("inf"))).alias("median"))

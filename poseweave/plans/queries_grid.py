@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from poseweave.functions.grid import grid_columns, node_position
 from poseweave.functions.linalg import shown
 from poseweave.operators import gridmap as G
 from poseweave.operators.neighbors import build_tree, nearest

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from poseweave.functions.linalg import shown
-from poseweave.functions.pose import Pose, compose, pose, pose_error, relative
+from poseweave.functions.pose import compose, pose, pose_error, relative
 from poseweave.operators.ordered import look_ahead
 from poseweave.operators.trajectory import anchor, gap_motions, odometry, trajectory_errors, unwrap
 from poseweave.plans import tables as T
@@ -145,6 +145,3 @@ SELECT run, frame, {r('x', 'x')}, {r('y', 'y')}, {r('theta', 'theta')} FROM pose
 def frame_slice(spark, sf_dir):
     region = T.poses(spark, sf_dir).where((F.col("frame") >= 10) & (F.col("frame") < 40))
     return _shown(region, ["run", "frame"], ["x", "y", "theta"])
-
-
-__all__ = ["Pose"]

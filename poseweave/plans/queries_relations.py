@@ -1,10 +1,8 @@
 """Loop-closure, revisit and stability queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from poseweave.functions.linalg import shown
-from poseweave.functions.pose import pose, pose_error
 from poseweave.operators import relations as L
 from poseweave.operators.stability import gap_deviation, rigid_deviation, summarise_ensemble
 from poseweave.operators.thinning import decimate
@@ -12,7 +10,6 @@ from poseweave.operators.trajectory import odometry
 from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
 from poseweave.plans.queries_grid import _LOCAL_NEAR, _normals_sql
-from poseweave.plans.queries_pose import _UNWRAP
 from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, WORLD, integrated, r
 from poseweave.session import pin
 
@@ -126,8 +123,8 @@ def relation_guards(spark, sf_dir):
 
 
 @query("relation_weights", f"""WITH {_JUDGE}, f AS (SELECT *, greatest(residual, 1e-6) AS s FROM judged),
-m AS (SELECT quantile_cont(s, 0.5) AS mid FROM f)
-SELECT run, i, j, {r('greatest(0.25, least(4.0, (mid / s) * (mid / s)))', 'weight')} FROM f, m""")
+m AS (SELECT run, quantile_cont(s, 0.5) AS mid FROM f GROUP BY run)
+SELECT run, i, j, {r('greatest(0.25, least(4.0, (mid / s) * (mid / s)))', 'weight')} FROM f JOIN m USING (run)""")
 def relation_weights(spark, sf_dir):
     weighted = L.residual_weights(_judgeable(spark, sf_dir).select("run", "i", "j", "residual"))
     return weighted.select("run", "i", "j", shown(F.col("weight")).alias("weight"))
@@ -248,6 +245,3 @@ THIN_SQL = """kept AS (
 SELECT run, frame FROM kept WHERE frame = last""")
 def thinned_frames(spark, sf_dir):
     return decimate(T.poses(spark, sf_dir), 2.03, 0.2512)
-
-
-__all__ = ["DoubleType", "pose", "pose_error", "_UNWRAP"]

@@ -9,7 +9,7 @@ from poseweave.plans.catalog import query
 from poseweave.plans.queries_grid import GRIDS, NODES, RUN, initial_map
 from poseweave.plans.queries_pose import _STEP
 from poseweave.plans.queries_relations import THIN_SQL
-from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, SCANS, WORLD, integrated, r
+from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, SCANS, WORLD, r
 from poseweave.sources import carmen, textfiles
 from poseweave.streaming.odometry import stream_odometry
 
@@ -112,7 +112,7 @@ def relation_text(spark, sf_dir):
     rows = m.where(F.col("scan") % 9 == 0).join(later, ["run", "frame"])
     line = F.concat_ws(" ", (F.col("scan") + 0.5).cast("string"), (F.col("other") + 0.5).cast("string"), F.col("dx").cast("string"),
                        F.lit("0.25 0 0 0"), F.col("dtheta").cast("string"))
-    return rows.select(F.lit("relations").alias("file"), F.col("scan").alias("line_no"), line.alias("line"))
+    return rows.select("run", F.lit("relations").alias("file"), F.col("scan").alias("line_no"), line.alias("line"))
 
 
 _WANTED = """wanted AS (
@@ -122,16 +122,19 @@ _THIN = THIN_SQL.format(source="lasers", travel=2.03, turn=0.2512)
 _SLOTS = f"""{_THIN}, chosen AS (
   SELECT run, frame AS message FROM kept WHERE frame = last
   UNION SELECT l.run, l.frame FROM lasers l WHERE l.scan IN (SELECT s1 FROM wanted UNION SELECT s2 FROM wanted)),
-slots AS (SELECT * FROM (SELECT run, message, row_number() OVER (PARTITION BY run ORDER BY message) - 1 AS slot FROM chosen) WHERE slot < 30),
+slots AS (SELECT * FROM (SELECT run, message, row_number() OVER (PARTITION BY run ORDER BY message) - 1 AS slot FROM chosen) WHERE slot < LIMIT_FRAMES),
 placed AS (SELECT s.run, s.slot, l.x, l.y, l.theta, l.scan, l.readings, first_value(l.x) OVER w AS ox, first_value(l.y) OVER w AS oy,
                   first_value(l.theta) OVER w AS ot
            FROM slots s JOIN lasers l ON l.run = s.run AND l.frame = s.message WINDOW w AS (PARTITION BY s.run ORDER BY s.slot))"""
 
 
-def _converted(spark, sf_dir):
+_LIMITED, _SLOTS = _SLOTS.replace("LIMIT_FRAMES", "30"), _SLOTS.replace(" WHERE slot < LIMIT_FRAMES", "")
+
+
+def _converted(spark, sf_dir, limit=0):
     messages = carmen.parse_lasers(log_lines(spark, sf_dir)).withColumn("run", F.col("file").cast("bigint"))
     relations = relation_text(spark, sf_dir)
-    points, poses = carmen.convert(messages, 2.03, 0.2512, limit=30, wanted=carmen.relation_stamps(relations))
+    points, poses = carmen.convert(messages, 2.03, 0.2512, limit=limit, wanted=carmen.relation_stamps(relations))
     return points, poses, relations
 
 
@@ -144,6 +147,16 @@ def log_poses(spark, sf_dir):
     return poses.select("run", "frame", *[shown(F.col(c)).alias(c) for c in ("x", "y", "theta")])
 
 
+@query("log_limit", f"""WITH RECURSIVE {_LASERS}, {_WANTED}, {_LIMITED}
+SELECT run, slot AS frame, {r('cos(ot) * (x - ox) + sin(ot) * (y - oy)', 'x')}, {r('-sin(ot) * (x - ox) + cos(ot) * (y - oy)', 'y')},
+       {r('atan2(sin(theta - ot), cos(theta - ot))', 'theta')}
+FROM placed""")
+def log_limit(spark, sf_dir):
+    """The conversion that keeps the first 30 scans of each log."""
+    _, poses, _ = _converted(spark, sf_dir, limit=30)
+    return poses.select("run", "frame", *[shown(F.col(c)).alias(c) for c in ("x", "y", "theta")])
+
+
 @query("log_scans", f"""WITH RECURSIVE {_LASERS}, {_WANTED}, {_SLOTS}
 SELECT run, frame, idx, {r('rng * cos(-pi() / 2 + idx * (pi() / 4))', 'sx')}, {r('rng * sin(-pi() / 2 + idx * (pi() / 4))', 'sy')}
 FROM (SELECT run, slot AS frame, k AS idx, CAST(readings[k + 1] AS DOUBLE) AS rng FROM placed, (SELECT range AS k FROM range(4)))
@@ -154,12 +167,12 @@ def log_scans(spark, sf_dir):
 
 
 @query("log_relations", f"""WITH RECURSIVE {_LASERS}, {_WANTED}, {_SLOTS}
-SELECT w.s1 AS line_no, a.slot AS i, b.slot AS j, {r('w.dx', 'dx')}, {r('0.25', 'dy')}, {r('w.dtheta', 'dtheta')}
-FROM wanted w JOIN placed a ON a.scan = w.s1 JOIN placed b ON b.scan = w.s2""")
+SELECT w.run, w.s1 AS line_no, a.slot AS i, b.slot AS j, {r('w.dx', 'dx')}, {r('0.25', 'dy')}, {r('w.dtheta', 'dtheta')}
+FROM wanted w JOIN placed a ON a.run = w.run AND a.scan = w.s1 JOIN placed b ON b.run = w.run AND b.scan = w.s2""")
 def log_relations(spark, sf_dir):
     _, poses, relations = _converted(spark, sf_dir)
-    out = carmen.index_relations(relations, poses.select("frame", "at"))
-    return out.select("line_no", "i", "j", *[shown(F.col(c)).alias(c) for c in ("dx", "dy", "dtheta")])
+    out = carmen.index_relations(relations, poses.select("run", "frame", "at"))
+    return out.select("run", "line_no", "i", "j", *[shown(F.col(c)).alias(c) for c in ("dx", "dy", "dtheta")])
 
 
 @query("streamed_trajectory", f"WITH {POSES} SELECT run, frame, {r('x', 'x')}, {r('y', 'y')}, {r('theta', 'theta')} FROM poses")
@@ -167,6 +180,3 @@ def streamed_trajectory(spark, sf_dir):
     """The trajectory query as a stream over the events folder."""
     out = stream_odometry(spark, sf_dir, T.motion_events)
     return out.select("run", "frame", *[shown(F.col(c)).alias(c) for c in ("x", "y", "theta")])
-
-
-__all__ = ["integrated"]

@@ -26,11 +26,11 @@ POSES = MOTIONS + ",\n" + integrated("poses")
 DRIFT = POSES + ",\n" + integrated("drift", "dtheta * CAST(1.02 AS DOUBLE)")
 
 SCANS = """ranges AS (
-  SELECT l_orderkey AS scan, l_quantity AS reading,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+  SELECT scan, l_quantity AS reading,
+         row_number() OVER (PARTITION BY scan ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
                             l_extendedprice, l_shipdate) - 1 AS beam,
-         count(*) OVER (PARTITION BY l_orderkey) AS beams
-  FROM lineitem),
+         count(*) OVER (PARTITION BY scan) AS beams
+  FROM (SELECT *, l_orderkey % (SELECT count(*) FROM events) AS scan FROM lineitem)),
 scans AS (
   SELECT scan, beam AS idx, reading * cos(angle) AS sx, reading * sin(angle) AS sy
   FROM (SELECT *, -pi() / 2 + beam * (pi() / beams) AS angle FROM ranges)

@@ -1,7 +1,8 @@
 """How the given tables are read as robot data.
 
 Poses come from ``events`` (one run per user, frames in time order), beams from ``lineitem`` (one
-scan per order, the quantity is the range).  A frame owns the scan whose number is its event id.
+scan per frame, the quantity is the range).  A frame owns the scan whose number is its event id; orders are dealt to the
+frames in turn, so every line is a beam of some frame.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from poseweave.operators.trajectory import integrate
 TURNS = {"click": 0.1, "view": -0.05, "signup": 0.3, "purchase": -0.2}
 STEP_SCALE = 100.0
 MIN_RANGE, MAX_RANGE = 0.1, 49.0
-BEAM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+BEAM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +54,9 @@ def drifted(spark: SparkSession, sf_dir: str, turn_scale: float = 1.02) -> DataF
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(scan, beam, beams, reading)``."""
+    frames = table(spark, sf_dir, "events").count()
     raw = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("scan"), F.col("l_quantity").alias("reading"), *BEAM_ORDER)
+        F.pmod(F.col("l_orderkey"), F.lit(max(frames, 1))).alias("scan"), F.col("l_quantity").alias("reading"), *BEAM_ORDER)
     numbered = number_rows(raw, ["scan"], BEAM_ORDER, "beam", total="beams")
     return numbered.select("scan", "beam", "beams", "reading")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poseweave.functions.pose import Pose
 from poseweave.operators.ordered import number_rows
 from poseweave.operators.thinning import decimate
 from poseweave.operators.trajectory import anchor
@@ -44,22 +43,29 @@ def relation_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("t", tokens()).where(F.size("t") >= 2)
 
 
+def log_key(lines: DataFrame) -> list[str]:
+    return ["run"] if "run" in lines.columns else []
+
+
 def relation_stamps(lines: DataFrame) -> DataFrame:
-    """Every scan timestamp the relations refer to, once."""
-    return relation_lines(lines).select(F.explode(F.slice("t", 1, 2)).alias("s")).select(stamp_key("s").alias("at")).distinct()
+    """Every scan timestamp the relations refer to, once for each log (``run``, where the lines have it)."""
+    stamps = relation_lines(lines).select(*log_key(lines), F.explode(F.slice("t", 1, 2)).alias("s"))
+    return stamps.select(*log_key(lines), stamp_key("s").alias("at")).distinct()
 
 
 def index_relations(lines: DataFrame, kept: DataFrame) -> DataFrame:
     """Relations over kept frame numbers; pairs with a dropped end disappear.
 
-    ``kept`` is ``(frame, at)`` with the numeric timestamp.
+    ``kept`` is ``(frame, at)`` with the numeric timestamp.  Where the lines name their log in ``run``, so must ``kept``:
+    equal timestamps of other logs are other scans.
     """
+    log = log_key(lines)
     full = relation_lines(lines).where(F.size("t") >= 8).select(
-        "line_no", *[F.element_at("t", n).cast("double").alias(c)
+        *log, "line_no", *[F.element_at("t", n).cast("double").alias(c)
                      for n, c in ((1, "at_i"), (2, "at_j"), (3, "dx"), (4, "dy"), (8, "dtheta"))])
-    return (full.join(kept.select(F.col("at").alias("at_i"), F.col("frame").alias("i")), "at_i")
-            .join(kept.select(F.col("at").alias("at_j"), F.col("frame").alias("j")), "at_j")
-            .select("line_no", "i", "j", "dx", "dy", "dtheta"))
+    return (full.join(kept.select(*log, F.col("at").alias("at_i"), F.col("frame").alias("i")), [*log, "at_i"])
+            .join(kept.select(*log, F.col("at").alias("at_j"), F.col("frame").alias("j")), [*log, "at_j"])
+            .select(*log, "line_no", "i", "j", "dx", "dy", "dtheta"))
 
 
 def convert(messages: DataFrame, min_travel: float = 0.5, min_turn: float = 0.2, min_range: float = 0.1,
@@ -73,7 +79,7 @@ def convert(messages: DataFrame, min_travel: float = 0.5, min_turn: float = 0.2,
     ordered = number_rows(messages.withColumn("run", run), ["run"], ["line_no"], "message")
     kept = decimate(ordered.withColumnRenamed("message", "frame"), min_travel, min_turn).withColumnRenamed("frame", "message")
     if wanted is not None:
-        named = ordered.withColumn("at", stamp_key("stamp")).join(wanted, "at", "left_semi").select("run", "message")
+        named = ordered.withColumn("at", stamp_key("stamp")).join(wanted, [*log_key(wanted), "at"], "left_semi").select("run", "message")
         kept = kept.unionByName(named).distinct()
     slots = number_rows(kept, ["run"], ["message"], "frame")
     if limit:
@@ -83,6 +89,3 @@ def convert(messages: DataFrame, min_travel: float = 0.5, min_turn: float = 0.2,
     beams = chosen.select("run", "frame", F.size("readings").alias("beams"), F.posexplode("readings").alias("beam", "reading"))
     points = beam_points(beams, min_range, max_range).withColumn("beam", F.col("beam").cast("bigint")).withColumnRenamed("beam", "idx")
     return points, poses
-
-
-__all__ = ["Pose"]

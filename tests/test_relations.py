@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from poseweave.operators import relations as L
 from poseweave.operators.stability import gap_deviation, rigid_deviation, summarise_ensemble
@@ -81,9 +80,11 @@ def test_corridor_is_poorly_observable(spark):
 
 
 def test_weights_and_guards(spark):
-    df = spark.createDataFrame([(i, r) for i, r in enumerate([.05, .10, .20, .001, 10.0])], "k bigint, residual double")
-    got = [r.weight for r in L.residual_weights(df).orderBy("k").collect()]
-    assert got == pytest.approx([4, 1, .25, 4, .25])
+    # Two runs with medians 0.3 and 3: each is weighed against its own.
+    spreads = [(run, k, scale * v) for run, scale in ((1, 1.0), (2, 10.0)) for k, v in enumerate([0.2, 0.3, 0.4, 3.0, 0.0])]
+    df = spark.createDataFrame(spreads, "run bigint, k bigint, residual double")
+    got = [r.weight for r in L.residual_weights(df).orderBy("run", "k").collect()]
+    assert got == pytest.approx([2.25, 1, 0.5625, .25, 4] * 2)
     fields = "run bigint, i bigint, j bigint, dx double, dy double, dtheta double, seed_dx double, seed_dy double, " \
              "seed_dtheta double, residual double, inliers bigint, observability double"
     rows = [(0, 0, n, dx, 0.0, 0.0, 0.0, 0.0, 0.0, res, inl, obs) for n, (dx, res, inl, obs) in enumerate(
@@ -93,8 +94,8 @@ def test_weights_and_guards(spark):
 
 
 def test_refined_odometry_falls_back_to_the_wheels(spark):
-    truth, seed = (0.4, -0.2, 0.1), (0.55, -0.3, 0.14)
-    scans = [l_scan(), l_scan(truth), l_scan() + 500.0]
+    truth, seed = (-0.3, 0.25, -0.12), (-0.2, 0.35, -0.09)
+    scans = [l_scan(), l_scan(truth), l_scan() - 250.0]
     points = spark.createDataFrame([(0, f, i, float(x), float(y)) for f, s in enumerate(scans) for i, (x, y) in enumerate(s)], SCAN)
     start = poses(spark, [(0, 0, 0), seed, (1.0, 0, 0)])
     motions = spark.createDataFrame([(0, 0, 1, *seed), (0, 1, 2, 1.0, 0.0, 0.0)],
@@ -123,10 +124,7 @@ def test_gauge_measures(spark):
 
 
 def test_ensemble_summary(spark):
-    scores = spark.createDataFrame([(0, v) for v in (0.013, 0.014, 0.687, 0.013)], "run bigint, m double")
+    scores = spark.createDataFrame([(0, v) for v in (0.02, 0.05, 0.4, 0.03)], "run bigint, m double")
     row = summarise_ensemble(scores, ["run"], "m", 5.0).first()
-    assert (row.best, row.diverged, row.n) == (0.013, 1, 4)
-    assert row.spread == pytest.approx(0.674) and row.median == pytest.approx(0.0135)
-
-
-__all__ = ["F"]
+    assert (row.best, row.diverged, row.n) == (0.02, 1, 4)
+    assert row.spread == pytest.approx(0.38) and row.median == pytest.approx(0.04)

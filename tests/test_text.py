@@ -57,17 +57,28 @@ def test_written_lines_stay_in_order(spark, tmp_path):
 
 
 def test_carmen_messages(spark):
-    tail = "4 1.0 2.0 3.0 50.0 1.5 2.5 0.75 1.6 2.6 0.85 70.28 nohost 0.11"
+    tail = "3 4.5 60.0 0.8 -7.5 0.25 -1.5 -7.0 0.5 -1.25 12.125 robot 3.5"
     text = f"FLASER {tail}\nODOM 1 2 3\nROBOTLASER1 0 -1.5 3.14 0.01 80 0.01 0 {tail}"
     rows = carmen.parse_lasers(lines(spark, text)).orderBy("line_no").collect()
     assert len(rows) == 2
     for row in rows:
-        assert row.readings == [1.0, 2.0, 3.0, 50.0] and row.stamp == "70.28"
-        assert (row.x, row.y, row.theta, row.ox, row.oy, row.otheta) == (1.5, 2.5, 0.75, 1.6, 2.6, 0.85)
+        assert row.readings == [4.5, 60.0, 0.8] and row.stamp == "12.125"
+        assert (row.x, row.y, row.theta, row.ox, row.oy, row.otheta) == (-7.5, 0.25, -1.5, -7.0, 0.5, -1.25)
     points, poses = carmen.convert(carmen.parse_lasers(lines(spark, text)), max_range=49.0)
-    assert poses.count() == 1 and points.count() == 3
+    assert poses.count() == 1 and points.count() == 2
     first = points.where("idx = 0").first()
-    assert (first.sx, first.sy) == pytest.approx((0.0, -1.0), abs=1e-12)
+    assert (first.sx, first.sy) == pytest.approx((0.0, -4.5), abs=1e-12)
+
+
+def test_logs_with_equal_stamps_stay_apart(spark):
+    row = "FLASER 1 2.0 {x} 0 0 {x} 0 0 {t} host 0"
+    logs = [(str(run), k, row.format(x=10 * run + k, t=k)) for run in (1, 2) for k in range(3)]
+    messages = carmen.parse_lasers(spark.createDataFrame(logs, "file string, line_no bigint, line string")).withColumn("run", F.col("file").cast("bigint"))
+    relations = spark.createDataFrame([(1, "r", 0, "0 2 1.5 0 0 0 0 0.25"), (2, "r", 1, "1 2 0.5 0 0 0 0 0.125")],
+                                      "run bigint, file string, line_no bigint, line string")
+    _, poses = carmen.convert(messages, min_travel=100.0, min_turn=9.0, wanted=carmen.relation_stamps(relations))
+    found = carmen.index_relations(relations, poses.select("run", "frame", "at")).collect()
+    assert sorted((r.run, r.line_no, r.i, r.j, r.dx) for r in found) == [(1, 0, 0, 1, 1.5), (2, 1, 1, 2, 0.5)]
 
 
 def test_config_is_strict(tmp_path):
