@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poseweave.llm.common import components
+from poseweave.llm.common import components, perhaps_in
 from poseweave.llm.words import blocks, shingles
 from poseweave.session import pin
 
@@ -205,7 +205,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(same, pa.int64())), lists([sets[k] for k in same])], ["row", "tokens"])
 
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
-    texts = docs.select(key, "text").join(wanted.select(key, "row", "d1", "d2"), "_id").select("text", "row", "d1", "d2")
+    named = wanted.select(key, "row", "d1", "d2")
+    texts = perhaps_in(docs.select(key, "text"), named, "_id").join(named, "_id").select("text", "row", "d1", "d2")
     return pin(texts.mapInArrow(expand, "row long, tokens array<long>"), "full-sets")
 
 
