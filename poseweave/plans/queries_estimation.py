@@ -12,7 +12,7 @@ from poseweave.operators.trajectory import odometry
 from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
 from poseweave.plans.queries_grid import GRIDS, NORMALS, OWNER, SLOPES, map_inputs, surface_inputs
-from poseweave.plans.solve import SolverOptions, solve
+from poseweave.plans.solve import SolverOptions, damped, solve, solve_step
 from poseweave.plans.sqltext import MOTIONS, NODES, SCANS, integrated, r
 from poseweave.session import pin
 
@@ -229,6 +229,21 @@ def gradient_vector(spark, sf_dir):
     return rows.select("run", F.col("i").alias("col"), shown(F.col("v")).alias("v"))
 
 
+@query("solved_step", f"""{_NORMAL_SQL}
+SELECT run, col, {r('sum(-val * r)', 'v')} FROM jac GROUP BY run, col""")
+def solved_step(spark, sf_dir):
+    """The damped system applied to its solution, which must give the right-hand side back."""
+    p, nodes, trajectory = problem(spark, sf_dir)
+    entries = pin(normal_equations(p, nodes, trajectory), "entries")
+    control = entries.select("run", F.lit(1.0).alias("lam")).distinct()
+    step = solve_step(entries, control, SolverOptions())
+    upper = damped(entries, control, False).where("j IS NOT NULL")
+    both = upper.unionByName(upper.where("i <> j").select("run", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    back = both.join(step.select("run", F.col("col").alias("j"), "delta"), ["run", "j"]).groupBy("run", F.col("i").alias("col")).agg(
+        F.sum(F.col("v") * F.col("delta")).alias("v"))
+    return back.withColumn("v", shown(F.col("v")))
+
+
 @query("map_and_pose_refinement")
 def map_and_pose_refinement(spark, sf_dir):
     """Two damped iterations of every run's joint map and pose problem."""

@@ -47,8 +47,6 @@ class RunConfig:
 SECTIONS = {"map": MapOptions, "weights": Weights, "hallucination": Hallucination, "normals": Normals, "solver": SolverOptions}
 # Options of the problem that are spelled at the top level of a file.
 FLAT_PROBLEM = ("huber_delta", "smooth_gradient", "smooth_gradient_step", "active_region", "active_margin")
-# Library-only settings without a file key.
-NOT_IN_FILES = {"solver": {"dense_unknowns"}}
 
 
 def _typed(kind, value, name: str):
@@ -66,7 +64,7 @@ def _typed(kind, value, name: str):
 
 def _section(kind, given: dict | None, scope: str):
     base = kind()
-    known = {f.name for f in fields(kind) if not is_dataclass(getattr(base, f.name))} - NOT_IN_FILES.get(scope, set())
+    known = {f.name for f in fields(kind) if not is_dataclass(getattr(base, f.name))}
     for key in given or {}:
         if key not in known:
             raise ValueError(f"unknown config key '{scope}.{key}'")

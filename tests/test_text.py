@@ -90,7 +90,7 @@ def test_config_is_strict(tmp_path):
     assert config.problem.normals.method == "pca" and config.problem.normals.k_neighbors == 10
     assert jittered(config, "o", 1e-9).solver.lambda_init == 5.0 * (1 + 1e-9)
     for bad in ({}, {"dataset_dir": "d", "nope": 1}, {"dataset_dir": "d", "map": {"nz": 1}}, {"dataset_dir": "d", "mode": "x"},
-                {"dataset_dir": "d", "solver": {"backend": "y"}}, {"dataset_dir": "d", "solver": {"dense_unknowns": 1}}):
+                {"dataset_dir": "d", "solver": {"backend": "y"}}, {"dataset_dir": "d", "solver": {"no_such_option": 1}}):
         with pytest.raises(ValueError):
             parse_config(bad)
 
