@@ -13,7 +13,7 @@ from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
 from poseweave.plans.queries_grid import GRIDS, NORMALS, OWNER, SLOPES, map_inputs, surface_inputs
 from poseweave.plans.solve import SolverOptions, damped, solve, solve_step
-from poseweave.plans.sqltext import MOTIONS, NODES, SCANS, integrated, r
+from poseweave.plans.sqltext import MOTIONS, NODES, SCANS, integrated, materialized, r
 from poseweave.session import pin
 
 OPTIONS = ProblemOptions(hallucination=Hallucination(2, 0.1, True), normals=Normals("weighted", 6, False, 0.2),
@@ -125,8 +125,8 @@ frozen AS (
   FROM (SELECT *, CASE WHEN abs(r0) > 0.5 THEN sqrt(CAST(0.5 AS DOUBLE) / abs(r0)) ELSE CAST(1 AS DOUBLE) END AS s FROM raw))"""
 
 
-@query("frozen_residuals", f"""WITH {_FROZEN}
-SELECT run, frame, row, {', '.join(r(c, c) for c in POINT_COLUMNS)} FROM frozen""")
+@query("frozen_residuals", materialized(f"""WITH {_FROZEN}
+SELECT run, frame, row, {', '.join(r(c, c) for c in POINT_COLUMNS)} FROM frozen"""))
 def frozen_residuals(spark, sf_dir):
     p, nodes, _ = problem(spark, sf_dir, frozen=True)
     rows = evaluate_points(p, nodes, T.drifted(spark, sf_dir))

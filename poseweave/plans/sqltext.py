@@ -1,5 +1,7 @@
 """Common table expressions shared by the check SQL."""
 
+import re
+
 MOTIONS = """motions AS (
   SELECT user_id AS run, event_id AS scan,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame,
@@ -69,6 +71,12 @@ nodes AS (
   FROM blank b LEFT JOIN first_hit f ON f.run = b.run AND f.node = b.node)"""
 
 
+def materialized(sql: str) -> str:
+    """The shared expressions computed once, where a query uses them many times."""
+    names = "world|nodes|cells|specs|poses|drift|scans|hits|first_hit|grids|blank|ranges|motions"
+    return re.sub(rf"\b({names}) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
 def r(expression: str, name: str) -> str:
     """Rounded output column without negative zero."""
     return f"round({expression}, 6) + CAST(0 AS DOUBLE) AS {name}"
