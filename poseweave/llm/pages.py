@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poseweave.llm.common import ordered
-from poseweave.session import pin
 
 # Fixed values of HTML: elements that start a new block, have no content, hold raw text, or are no part of the text.
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2
@@ -153,7 +152,8 @@ def nearest_lines(pages: DataFrame) -> DataFrame:
 
     Numbers over the whole order stand in for pages, so a host with a third of all pages is spread like the others.
     """
-    rows = pin(ordered(page_lines(pages), ["host", "path", "url", "page_id", "html_hash"], "page-order"), "page-lines")
+    rows = ordered(page_lines(pages), ["host", "path", "url", "page_id", "html_hash"], "page-order")
+
     def shared(a: str, b: str):
         same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
                            lambda s, eq: F.struct((s["n"] + F.when(s["on"] & eq, 1).otherwise(0)).alias("n"), (s["on"] & eq).alias("on")))
@@ -177,20 +177,35 @@ def extract(pages: DataFrame) -> DataFrame:
     is the text; otherwise all lines outside marked parts that the nearest page does not share.  ``n_shared`` counts the lines
     found on both pages.  Null URLs belong to the empty host.
     """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_shared = [], []
-            for page, other in zip(batch.column("html").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            own, texts, places, article = [], [], [], []
+            for page in batch.column("html").to_pylist():
                 found = text_blocks(page or "")
-                shared = set(common_lines([line_hash(t) for t, _ in found], other)) if other else set()
                 top = ARTICLE if any(z == ARTICLE for _, z in found) else PLAIN
-                texts.append("\n".join(t for k, (t, z) in enumerate(found) if z == top and (z == ARTICLE or k not in shared)))
+                own.append([line_hash(t) for t, _ in found])
+                places.append([k for k, (_, z) in enumerate(found) if z == top])
+                texts.append([found[k][0] for k in places[-1]])
+                article.append(top == ARTICLE)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "html_hash")), pa.array(own, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())),
+                 pa.array(places, pa.list_(pa.int32())), pa.array(article, pa.bool_())], ["page_id", "url", "html_hash", "own", "texts", "places", "article"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined, n_shared = [], []
+            for own, other, texts, places, article in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "texts", "places", "article")), strict=True):
+                shared = set(common_lines(own, other)) if other else set()
+                joined.append("\n".join(t for k, t in zip(places, texts, strict=True) if article or k not in shared))
                 n_shared.append(len(shared))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(n_shared, pa.int64())],
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(joined, pa.string()), pa.array(n_shared, pa.int64())],
                                              ["page_id", "url", "text", "n_shared"])
 
     near = nearest_lines(pages)
-    rows = pages.select("page_id", "url", "html", F.xxhash64("html").alias("html_hash")).alias("p").join(near.alias("n"), (
+    # Only text that may stay travels, not the markup.
+    parsed = pages.select("page_id", "url", "html", F.xxhash64("html").alias("html_hash")).mapInArrow(
+        parse, "page_id long, url string, html_hash long, own array<long>, texts array<string>, places array<int>, article boolean")
+    rows = parsed.alias("p").join(near.alias("n"), (
         F.col("p.page_id").eqNullSafe(F.col("n.page_id")) & F.col("p.url").eqNullSafe(F.col("n.url")) & (F.col("p.html_hash") == F.col("n.html_hash"))), "left")
-    out = rows.select("p.page_id", "p.url", "html", "other").mapInArrow(cut, "page_id long, url string, text string, n_shared long")
+    out = rows.select("p.page_id", "p.url", "own", "other", "texts", "places", "article").mapInArrow(cut, "page_id long, url string, text string, n_shared long")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
