@@ -261,7 +261,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     owner = rows.join(first, ["d1", "d2", "n"], "left").join(groups.withColumnRenamed("row", "rep"), "rep", "left")
     owner = pin(owner.select("doc_id", "n", F.coalesce("component", "rep", "row").alias("class")), "classes")
-    smallest = owner.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    smallest = pin(owner.groupBy("class").agg(F.min("doc_id").alias("component_id")), "smallest")
     return owner.join(smallest, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
