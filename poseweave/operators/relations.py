@@ -88,44 +88,17 @@ def revisit_pairs(poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
     return late.join(old, ["run", "bx", "by"]).where((F.col("i") < F.col("j") - min_gap) & near).select(*PAIR)
 
 
-def revisit_distances(world: DataFrame, poses: DataFrame, min_gap: int, radius: float,
-                      max_pool: int = 50_000) -> DataFrame:
+def revisit_distances(world: DataFrame, poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
     """Distance of every point of frame j to the nearest point of its revisited old frames.
 
-    ``world`` is ``(run, frame, idx, gx, gy)``.  Frames with a small pool of old points use it
-    directly.  Frames whose pool may exceed ``max_pool`` search dyadic frame blocks instead and ask
-    for more neighbours until one comes from a pose within the radius.  Output ``(run, j, idx, distance)``.
+    ``world`` is ``(run, frame, idx, gx, gy)``; output ``(run, j, idx, distance)``.  The frames up to ``j - min_gap`` are covered
+    by dyadic blocks with one tree for each block and pose bucket; a point asks for more neighbours until one comes from a pose
+    within the radius.  No pool of old points is copied for a frame, however many there are.
     """
     bucketed = pin(poses.select("run", "frame", "x", "y").withColumns(_pose_bucket(radius)), "revisit")
     points = pin(world.select("run", "frame", "idx", "gx", "gy").join(
         bucketed.withColumnsRenamed({"x": "px", "y": "py"}), ["run", "frame"]), "revisit")
-    weight = points.groupBy("run", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
-    pool = _around(bucketed.where(F.col("frame") >= min_gap)).join(weight, ["run", "bx", "by"]).groupBy(
-        "run", "frame").agg(F.sum("n").alias("pool"))
-    pool = pin(pool, "revisit")
-    light = pool.where(F.col("pool") <= max_pool).select("run", "frame")
-    out = _pooled_distances(points, bucketed, light, min_gap, radius)
-    heavy = pool.where(F.col("pool") > max_pool).select("run", "frame")
-    if heavy.limit(1).count():
-        out = out.unionByName(_searched_distances(points, heavy, min_gap, radius))
-    return out
-
-
-def _pooled_distances(points: DataFrame, poses: DataFrame, frames: DataFrame, min_gap: int, radius: float) -> DataFrame:
-    late = _around(poses.join(frames, ["run", "frame"], "left_semi")).withColumnRenamed("frame", "j")
-    old = poses.toDF("run", "i", "ix", "iy", "bx", "by")
-    near = F.hypot(F.col("ix") - F.col("x"), F.col("iy") - F.col("y")) < radius
-    pairs = late.join(old, ["run", "bx", "by"]).where((F.col("i") < F.col("j") - min_gap) & near).select(*PAIR)
-    reference = pairs.join(points.select("run", F.col("frame").alias("i"), "idx", "gx", "gy"), ["run", "i"]).select(
-        "run", "j", "i", "idx", F.col("gx").alias("x"), F.col("gy").alias("y"))
-    tree = build_tree(reference, ["run", "j"], ["i", "idx"], leaf_rows=16, copies=1)
-    asking = points.join(frames, ["run", "frame"], "left_semi").select(
-        "run", F.col("frame").alias("j"), F.col("idx").alias("q"), F.col("gx").alias("x"), F.col("gy").alias("y"))
-    found = nearest(asking, ["q"], tree, 1, ["i", "idx"], [], block_rows=None)
-    return found.select("run", "j", F.col("q").alias("idx"), F.sqrt("d2").alias("distance"))
-
-
-def _searched_distances(points: DataFrame, frames: DataFrame, min_gap: int, radius: float) -> DataFrame:
+    frames = bucketed.where(F.col("frame") >= min_gap).select("run", "frame")
     top = top_level(points)
     group = ["run", "level", "span", "bx", "by"]
     home = dyadic_home(points.select("run", F.col("frame").alias("i"), "idx", F.col("gx").alias("x"),
@@ -153,9 +126,9 @@ def _searched_distances(points: DataFrame, frames: DataFrame, min_gap: int, radi
         k *= 4
 
 
-def revisit_score(world: DataFrame, poses: DataFrame, min_gap: int, radius: float, **limits) -> DataFrame:
+def revisit_score(world: DataFrame, poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
     """Median, 90th percentile and number of revisiting frames per run."""
-    distances = pin(revisit_distances(world, poses, min_gap, radius, **limits), "distances")
+    distances = pin(revisit_distances(world, poses, min_gap, radius), "distances")
     score = quantiles(distances, ["run"], "distance", {"median": 0.5, "p90": 0.9})
     frames = distances.select("run", "j").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("frames"))
     return score.join(frames, "run")

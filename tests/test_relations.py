@@ -36,19 +36,25 @@ def test_pair_selection_equals_brute_force_when_parked(spark, max_gap):
     assert got == sorted(want)
 
 
-def test_revisit_search_equals_pooled_distances(spark):
+def test_revisit_search_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     path = np.cumsum(rng.normal(scale=.8, size=(40, 2)), axis=0)
     path[10:25] = path[10]
     df = poses(spark, [(*p, 0.0) for p in path])
     points = spark.createDataFrame([(0, f, i, *map(float, rng.uniform(-6, 6, 2) + path[f])) for f in range(40) for i in range(3)],
                                    "run bigint, frame bigint, idx bigint, gx double, gy double")
-    light = L.revisit_distances(points, df, 5, 2.0).orderBy("j", "idx").toPandas()
-    heavy = L.revisit_distances(points, df, 5, 2.0, max_pool=0).orderBy("j", "idx").toPandas()
-    assert len(light) and light[["j", "idx"]].equals(heavy[["j", "idx"]])
-    assert np.abs(light.distance - heavy.distance).max() < 1e-12
+    place = {(r.frame, r.idx): (r.gx, r.gy) for r in points.collect()}
+    want = {}
+    for j in range(40):
+        old = [i for i in range(j - 5) if math.hypot(*(path[i] - path[j])) < 2.0]
+        for idx in range(3) if old else ():
+            x, y = place[j, idx]
+            want[j, idx] = min(math.hypot(place[i, k][0] - x, place[i, k][1] - y) for i in old for k in range(3))
+    got = {(r.j, r.idx): r.distance for r in L.revisit_distances(points, df, 5, 2.0).collect()}
+    assert want and got.keys() == want.keys()
+    assert max(abs(got[key] - want[key]) for key in want) < 1e-12
     score = L.revisit_score(points, df, 5, 2.0).first()
-    assert score.median == pytest.approx(np.median(light.distance)) and score.frames == light.j.nunique()
+    assert score.median == pytest.approx(np.median(list(want.values()))) and score.frames == len({j for j, _ in want})
 
 
 def l_scan(shift=(0.0, 0.0, 0.0)):
