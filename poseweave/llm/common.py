@@ -68,12 +68,12 @@ def with_text_columns(docs: DataFrame, compute: Callable[[list[str | None]], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = compute(batch.column("_text").to_pylist())
+            new = compute(batch.column(names.index("text")).to_pylist())
             kept = [batch.column(k) for k in range(len(names))]
             made = [new[name] if isinstance(new[name], pa.Array) else pa.array(new[name]) for name in fields]
             yield pa.RecordBatch.from_arrays([*kept, *made], [*map(str, range(len(names))), *(f"_{k}" for k in range(len(made)))])
 
-    raw = docs.select(*(docs[f"`{c}`"].alias(str(k)) for k, c in enumerate(names)), docs["text"].alias("_text"))
+    raw = docs.select(*(docs[f"`{c}`"].alias(str(k)) for k, c in enumerate(names)))
     given = [f"`{k}` {kind}" for k, kind in enumerate(kinds)] + [f"`_{k}` {kind}" for k, kind in enumerate(fields.values())]
     out = raw.mapInArrow(run, ", ".join(given))
     kept = [F.col(str(k)).alias(c) for k, c in enumerate(names) if c not in fields]

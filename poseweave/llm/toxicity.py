@@ -22,8 +22,8 @@ from poseweave.llm.words import Words, blocks, mixed
 
 #: Bound of the labelled sample: rows of each class, the first in a seeded order.
 SAMPLE_ROWS = 16_384
-#: Weight of the prior in words of the pooled distribution, evidence (z) and log-odds a word needs, and most words of a model.
-PRIOR_WORDS = 20_000.0
+#: Weight of the prior (the pooled distribution) as a share of all counts, evidence (z) and log-odds a word needs, and most words of a model.
+PRIOR_SHARE = 0.02
 MIN_Z, MIN_ODDS, MOST_WORDS = 4.0, 1.0, 20_000
 #: Word beginnings, in bytes, that stand in for words without evidence of their own; the longest known counts.
 BEGINNINGS = (6, 4)
@@ -109,11 +109,11 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each word and word beginning occurs, summed per batch; key 0 has all."""
+    """In how many toxic and clean texts each word and word beginning occurs, summed per block of texts; key 0 has all."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-        keys, flags, words_in = [], [], [0, 0]
         for first, words in blocks(batch.column("text").to_pylist(), IS_TOKEN):
+            keys, flags, words_in = [], [], [0, 0]
             for k in range(len(words.first) - 1):
                 a, b = words.first[k], words.first[k + 1]
                 words_in[int(toxic[first + k])] += len(np.unique(words.hashes[a:b]))
@@ -122,13 +122,12 @@ def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen = np.unique(np.stack([hashes, owner.astype(np.uint64)], axis=1), axis=0)
                 keys.append(seen[:, 0])
                 flags.append(toxic[first + seen[:, 1].astype(np.int64)])
-        every, flag = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(flags or [np.zeros(0, bool)])
-        own, at = np.unique(every, return_inverse=True)
-        bad = np.bincount(at, weights=flag, minlength=len(own)).astype(np.int64)
-        all_of = np.bincount(at, minlength=len(own)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(own.view(np.int64), 0)), pa.array(np.append(bad, words_in[1])),
-             pa.array(np.append(all_of - bad, words_in[0]))], ["key", "bad", "good"])
+            own, at = np.unique(np.concatenate(keys), return_inverse=True)
+            bad = np.bincount(at, weights=np.concatenate(flags), minlength=len(own)).astype(np.int64)
+            all_of = np.bincount(at, minlength=len(own)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(own.view(np.int64), 0)), pa.array(np.append(bad, words_in[1])),
+                 pa.array(np.append(all_of - bad, words_in[0]))], ["key", "bad", "good"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> Model:
@@ -155,9 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     if not bad_all or not good_all:
         found.unpersist()
         return empty
-    prior = (F.col("bad") + F.col("good")) * (PRIOR_WORDS / (bad_all + good_all))
+    prior_words = PRIOR_SHARE * (bad_all + good_all)
+    prior = (F.col("bad") + F.col("good")) * PRIOR_SHARE
     bad, good = F.col("bad") + prior, F.col("good") + prior
-    odds = F.log(bad / (bad_all + PRIOR_WORDS - bad)) - F.log(good / (good_all + PRIOR_WORDS - good))
+    odds = F.log(bad / (bad_all + prior_words - bad)) - F.log(good / (good_all + prior_words - good))
     z = odds / F.sqrt(1 / bad + 1 / good)
     clear = found.where("key <> 0").select("key", "bad", "good", odds.alias("odds"), z.alias("z")).where(
         (F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "key").limit(MOST_WORDS).toPandas()
