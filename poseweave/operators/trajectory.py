@@ -88,7 +88,7 @@ def trajectory_errors(estimate: DataFrame, truth: DataFrame, group: list[str], f
     reference = truth.select(*group, frame, *pose().named("t_"))
     both = estimate.join(reference, [*group, frame], "full")
     problem = F.col("x").isNull() | F.col("t_x").isNull()
-    both = both.where(F.when(problem, F.raise_error(F.lit("pose count mismatch between estimate and ground truth")))
+    both = both.where(F.when(problem, F.raise_error(F.lit("a frame has a pose in one trajectory only")))
                       .otherwise(F.lit(True)))
     steps = look_ahead(both, group, frame, 1, {c: f"_n{c}" for c in ("x", "y", "theta", "t_x", "t_y", "t_theta")})
     est = relative(pose(), Pose(F.col("_nx"), F.col("_ny"), F.col("_ntheta")))

@@ -70,7 +70,7 @@ def run_batch(points: DataFrame, poses: DataFrame, config: RunConfig, relations:
     grids = pin(make_grids(points, poses, config.map), "grids")
     start = poses if initial is None else pin(initial.select(*POSE_COLUMNS), "poses")
     if initial is not None and start.count() != poses.count():
-        raise ValueError("initial_poses count != scan count")
+        raise ValueError("the starting poses do not cover the scans one to one")
     nodes, surface = starting_nodes(points, start, grids, config.map, max(2, config.problem.normals.k_neighbors))
     options = effective_solver(config.solver)
     problem = build_problem(points, nodes, start, odometry(poses, RUN), grids, config.problem, relations,
@@ -166,7 +166,7 @@ def run_config(spark: SparkSession, config: RunConfig) -> Result:
     zero = F.lit(0).cast("bigint").alias("run")
     points, poses = (pin(df.select(zero, "*"), "dataset") for df in load_dataset(spark, config.dataset_dir))
     if poses.count() < 2:
-        raise ValueError("dataset needs at least two scans")
+        raise ValueError("one scan alone cannot be aligned")
 
     def listed(path: str) -> DataFrame:
         return parse_poses(read_lines(spark, path)).select(zero, "frame", "x", "y", "theta")

@@ -67,7 +67,7 @@ def _section(kind, given: dict | None, scope: str):
     known = {f.name for f in fields(kind) if not is_dataclass(getattr(base, f.name))}
     for key in given or {}:
         if key not in known:
-            raise ValueError(f"unknown config key '{scope}.{key}'")
+            raise ValueError(f"the configuration has no setting {scope}.{key}")
     return replace(base, **{k: _typed(getattr(base, k), v, f"{scope}.{k}") for k, v in (given or {}).items()})
 
 
@@ -76,9 +76,9 @@ def parse_config(tree: dict) -> RunConfig:
     plain = {f.name for f in fields(RunConfig)} - {"map", "problem", "solver"}
     for key in tree:
         if key not in plain and key not in SECTIONS and key not in FLAT_PROBLEM:
-            raise ValueError(f"unknown config key 'root.{key}'")
+            raise ValueError(f"the configuration has no setting {key}")
     if "dataset_dir" not in tree:
-        raise ValueError("config requires dataset_dir")
+        raise ValueError("the configuration names no dataset_dir")
     parts = {name: _section(kind, tree.get(name), name) for name, kind in SECTIONS.items()}
     base = RunConfig(dataset_dir=str(tree["dataset_dir"]))
     options = base.problem

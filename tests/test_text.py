@@ -17,8 +17,8 @@ def test_pcd_fields_are_found_by_name(spark):
 
 
 @pytest.mark.parametrize("text, message", [
-    (HEADER.replace("ascii", "binary") + "1 2 3", "only ASCII"), ("FIELDS x z\nDATA ascii\n1 2", "lacks x/y"),
-    ("FIELDS x y\n1 2", "lacks x/y"), (HEADER + "1 2", "malformed")])
+    (HEADER.replace("ascii", "binary") + "1 2 3", "not text"), ("FIELDS x z\nDATA ascii\n1 2", "no columns"),
+    ("FIELDS x y\n1 2", "no columns"), (HEADER + "1 2", "too short")])
 def test_bad_pcd_raises(spark, text, message):
     with pytest.raises(Exception, match=message):
         textfiles.parse_pcd(lines(spark, text)).collect()
@@ -29,7 +29,7 @@ def test_pose_and_relation_lists(spark):
     assert [(r.frame, r.x, r.theta) for r in poses] == [(0, 1.0, 3.0), (1, 4.0, 6.0)]
     text = "i,j,dx,dy,dtheta,residual,inliers,weight\n0,1,1,0,0,0.1,50,4.0\n1,2,1,0,0,0.1,50\n0,2,2,0,0"
     assert [r.sqrt_weight for r in textfiles.parse_relations(lines(spark, text)).orderBy("line_no").collect()] == [2.0, 1.0, 1.0]
-    with pytest.raises(Exception, match="must be positive"):
+    with pytest.raises(Exception, match="zero or below"):
         textfiles.parse_relations(lines(spark, "0,1,1,0,0,0.1,50,0")).collect()
 
 
@@ -43,8 +43,11 @@ def test_dataset_folder_round_trip(spark, tmp_path):
     # Name order, not number order.
     assert sorted((r.frame, r.idx, r.sx) for r in points.collect()) == [(0, 0, 6.0), (1, 0, 2.0), (1, 1, 4.0)]
     assert poses.count() == 2
-    (folder / "scanner_info.txt").write_text("0 0 0\n")
-    with pytest.raises(ValueError, match="scan count"):
+    (folder / "scan3.pcd").write_text("")
+    with pytest.raises(ValueError, match="scan3.pcd is empty"):
+        textfiles.load_dataset(spark, str(folder))
+    (folder / "scan3.pcd").write_text(HEADER)
+    with pytest.raises(ValueError, match="scans and"):
         textfiles.load_dataset(spark, str(folder))
 
 
