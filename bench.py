@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import functions as F  # noqa: E402
 
 from poseweave.plans.catalog import load_all  # noqa: E402
-from poseweave.session import local_session  # noqa: E402
+from poseweave.session import local_session, release  # noqa: E402
 
 HEADLINE = ["endpoint_occupancy", "trajectory_metrics", "gap_motions", "gauge_gaps", "map_from_scans", "map_samples", "nearest_points",
             "scan_normals",
@@ -30,6 +30,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
                       "sf": Path(sf_dir).name.removeprefix("sf")}))
 

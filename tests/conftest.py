@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from poseweave.session import local_session  # noqa: E402
+from poseweave.session import local_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session("8", shuffle_partitions=4, app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
