@@ -58,7 +58,7 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id") -> Data
         node, F.coalesce("v", node).alias("component"))
 
 
-def with_text_columns(docs: DataFrame, compute: Callable[[list[str | None]], dict[str, list]], fields: dict[str, str]) -> DataFrame:
+def with_text_columns(docs: DataFrame, compute: Callable[[pa.Array], dict[str, list]], fields: dict[str, str]) -> DataFrame:
     """``docs`` with columns computed from batches of ``text``, all in one pass.
 
     ``fields`` has the name and type of each new column; columns of the same name are replaced.  Any names may occur in ``docs``: columns
@@ -68,7 +68,7 @@ def with_text_columns(docs: DataFrame, compute: Callable[[list[str | None]], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = compute(batch.column(names.index("text")).to_pylist())
+            new = compute(batch.column(names.index("text")))
             kept = [batch.column(k) for k in range(len(names))]
             made = [new[name] if isinstance(new[name], pa.Array) else pa.array(new[name]) for name in fields]
             yield pa.RecordBatch.from_arrays([*kept, *made], [*map(str, range(len(names))), *(f"_{k}" for k in range(len(made)))])

@@ -13,7 +13,7 @@ linked already is verified on the sets themselves.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ BITMAP = 256
 LANES = ["b0", "b1", "b2", "b3"]
 
 
-def token_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+def token_sets(texts: Iterable, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     for _, words in blocks(texts):
         values, bounds = shingles(words, size, whole_if_short=True)
@@ -70,7 +70,7 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     """The most frequent shingles over all texts.  They only shape the order, which may be any: results do not depend on them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {digest(s): s for s in token_sets(batch.column("text").to_pylist(), size)}
+            own = {digest(s): s for s in token_sets(batch.column("text"), size)}
             keys, n = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
             many = n >= 4
             yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(n[many])], ["token", "n"])
@@ -106,7 +106,7 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
         last = heavy.value
         for batch in batches:
             n, digests, lanes, bits, prefixes = [], [], [], [], []
-            for tokens in token_sets(batch.column("text").to_pylist(), size):
+            for tokens in token_sets(batch.column("text"), size):
                 n.append(len(tokens))
                 digests.append(digest(tokens))
                 lanes.append(parity(tokens, BITMAP))
@@ -198,7 +198,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``(row, tokens)`` of the wanted ``(row, doc_id, d1, d2)``: only their texts are hashed again.  Pinned."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(token_sets(batch.column("text").to_pylist(), size))
+            sets = list(token_sets(batch.column("text"), size))
             want = zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True)
             # Rows of one id may have other texts.
             same = [k for k, (s, d) in enumerate(zip(sets, want, strict=True)) if digest(s) == d]

@@ -126,18 +126,39 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[list[int],
 
 
 def _greedy(left: np.ndarray, window: int) -> list[tuple[list[int], int]]:
-    """The residual pieces, the longest first, each sequence filled with the longest pieces that still fit."""
+    """The residual pieces, the longest first: filled exactly by one or two others, else with the longest that fits."""
     out, lengths = [], np.flatnonzero(left).tolist()
+
+    def spare(a: int, used: dict[int, int]) -> int:
+        return int(left[a]) - used.get(a, 0)
+
+    def exact(space: int, used: dict[int, int]) -> list[int]:
+        if spare(space, used) > 0:
+            return [space]
+        for k in range(bisect_right(lengths, space) - 1, -1, -1):
+            b, c = lengths[k], space - lengths[k]
+            if c > b:
+                break
+            if spare(b, used) > (b == c) and spare(c, used) > 0:
+                return [b, c]
+        return []
+
     while lengths:
         row, used, space = [], {}, window
         while space:
+            found = exact(space, used) if row else []
+            if found:
+                row += found
+                for a in found:
+                    used[a] = used.get(a, 0) + 1
+                break
             k = bisect_right(lengths, space) - 1
             while k >= 0 and used.get(lengths[k], 0) >= left[lengths[k]]:
                 k -= 1
             if k < 0:
                 break
             a = lengths[k]
-            fit = min(space // a, int(left[a]) - used.get(a, 0))
+            fit = min(space // a, spare(a, used)) if row else 1
             row += [a] * fit
             used[a] = used.get(a, 0) + fit
             space -= a * fit

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: A longer text is encoded in pieces of about this many characters, cut where the split always cuts.
 PIECE_CHARS = 1 << 20
 

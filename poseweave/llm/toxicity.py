@@ -112,7 +112,7 @@ def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and clean texts each word and word beginning occurs, summed per block of texts; key 0 has all."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-        for first, words in blocks(batch.column("text").to_pylist(), IS_TOKEN):
+        for first, words in blocks(batch.column("text"), IS_TOKEN):
             keys, flags, words_in = [], [], [0, 0]
             for k in range(len(words.first) - 1):
                 a, b = words.first[k], words.first[k + 1]
@@ -215,7 +215,7 @@ PASSAGE = pa.struct([("start_word", pa.int32()), ("end_word", pa.int32()), ("sco
 def _segments(batches: Iterator[pa.RecordBatch], model: Model, kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, surprise, passages = [], [], []
-        for _, words in blocks(batch.column("text").to_pylist(), IS_TOKEN):
+        for _, words in blocks(batch.column("text"), IS_TOKEN):
             scores = model.scores(words)
             for a, b in zip(words.first[:-1], words.first[1:], strict=True):
                 found = maximal_segments(scores[a:b])
@@ -245,8 +245,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``; all columns stay as they are."""
-    def run(texts: list[str | None]) -> dict[str, list]:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    def run(texts: pa.Array) -> dict[str, list]:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
         return {"_score": [model.probability(s) for s in next(_segments(iter([batch]), model, [])).column("surprise").to_pylist()]}
 
     return with_text_columns(docs, run, {"_score": "double"}).where(F.col("_score") < threshold).drop("_score")

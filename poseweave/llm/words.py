@@ -7,13 +7,13 @@ No step looks at single words in Python, so the cost is a few passes over the by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
 #: Bytes handled at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -86,11 +86,18 @@ def words_of(data: np.ndarray, bounds: np.ndarray, is_letter: np.ndarray = IS_LE
     return Words(start, end, mixed(h + (end - start).astype(np.uint64)), np.searchsorted(start, bounds), data, sums)
 
 
-def blocks(texts: list[str | None], is_letter: np.ndarray = IS_LETTER) -> Iterator[tuple[int, Words]]:
-    """``(number of the block's first text, Words)`` over all texts; null is an empty text."""
+def raw_text(text) -> bytes:
+    """UTF-8 of a string or of an Arrow string, which is not decoded for it; null is empty."""
+    if text is None or isinstance(text, str):
+        return (text or "").encode("utf-8", "surrogatepass")
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def blocks(texts: Iterable, is_letter: np.ndarray = IS_LETTER) -> Iterator[tuple[int, Words]]:
+    """``(number of the block's first text, Words)`` over all texts, a list or an Arrow array; null is an empty text."""
     first, parts, size = 0, [], 0
     for k, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = raw_text(text)
         if parts and size + len(raw) > BLOCK_BYTES:
             yield first, _block(parts, is_letter)
             first, parts, size = k, [], 0
@@ -130,12 +137,12 @@ def shingles(words: Words, size: int, whole_if_short: bool) -> tuple[np.ndarray,
     return out, bounds
 
 
-def count_words(texts: list[str | None]) -> np.ndarray:
+def count_words(texts: Sequence) -> np.ndarray:
     """The number of words of every text; null has none."""
     out = np.zeros(len(texts), dtype=np.int64)
     for k, text in enumerate(texts):
-        if text:
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        data = np.frombuffer(raw_text(text), dtype=np.uint8)
+        if len(data):
             letter = IS_LETTER[data]
             out[k] = int(letter[0]) + np.count_nonzero(letter[1:] & ~letter[:-1])
     return out

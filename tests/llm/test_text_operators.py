@@ -103,7 +103,8 @@ def test_plan_uses_each_piece_once_and_pads_little():
             used[length] += times
     assert used == counts
     sequences = sum(t for _, t in packing.plan(counts))
-    assert sequences <= 1.02 * sum(k * v for k, v in counts.items()) / 2048 + 1
+    # Ten pieces a length, no small ones to spare: the hardest case for whole pieces.
+    assert sequences <= 1.03 * sum(k * v for k, v in counts.items()) / 2048
 
 
 def test_choose_reaches_reachable_sums():
