@@ -29,6 +29,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Frequent tokens that come last in the order: at most so many, each in at least so many sets.  Fixed size, so it may be broadcast.
 HEAVY_TOKENS, HEAVY_SETS = 65_536, 64
+#: Texts whose shingles are counted together; of these, only those in three texts or more are passed on.
+COUNTED_TEXTS = 2_500
 #: A prefix token in more sets than this is indexed in pairs.
 RARE_SETS = 32
 #: Sets of an entry compared in one block.
@@ -70,10 +72,11 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     """The most frequent shingles over all texts.  They only shape the order, which may be any: results do not depend on them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {digest(s): s for s in token_sets(batch.column("text"), size)}
-            keys, n = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            many = n >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(n[many])], ["token", "n"])
+            for start in range(0, batch.num_rows, COUNTED_TEXTS):
+                own = {digest(s): s for s in token_sets(batch.column("text").slice(start, COUNTED_TEXTS), size)}
+                keys, n = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
+                many = n >= 3
+                yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(n[many])], ["token", "n"])
 
     sums = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sums.where(F.col("n") >= HEAVY_SETS).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toPandas()
