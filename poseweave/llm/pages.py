@@ -164,9 +164,8 @@ def nearest_lines(pages: DataFrame) -> DataFrame:
                          F.col("lines").alias("other"), (F.col("_row")).alias("from_row"))
     met = rows.drop("lines").join(offers, (F.col("_row") == F.col("to")) & (F.col("host") == F.col("h")))
     rank = F.struct(-shared("path", "p"), "from_row")
-    best = met.groupBy("page_id", "url", "html_hash", "_row").agg(F.min_by("other", rank).alias("other"))
-    # Equal rows (id, URL and text) are one page: any neighbour among them serves all.
-    return best.groupBy("page_id", "url", "html_hash").agg(F.min_by("other", "_row").alias("other"))
+    # Equal rows (id, URL and text) are one page: the nearest of their neighbours serves all.
+    return met.groupBy("page_id", "url", "html_hash").agg(F.min_by("other", rank).alias("other"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
