@@ -186,6 +186,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 places.append([k for k, (_, z) in enumerate(found) if z == top])
                 texts.append([found[k][0] for k in places[-1]])
                 article.append(top == ARTICLE)
+                if article[-1]:  # all of it stays: one text
+                    texts[-1], places[-1] = ["\n".join(texts[-1])], [0]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page_id", "url", "html_hash")), pa.array(own, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())),
                  pa.array(places, pa.list_(pa.int32())), pa.array(article, pa.bool_())], ["page_id", "url", "html_hash", "own", "texts", "places", "article"])
