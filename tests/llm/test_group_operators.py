@@ -152,6 +152,37 @@ def test_repeats_split_over_two_earlier_documents_count_as_one_stretch(spark):
     assert {(r.doc_id, r.other_id) for r in passages.repeats(docs).collect()} == {(3, 1), (3, 2)}
 
 
+def covered_words(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    return out
+
+
+def common_runs(texts, n=50):
+    """Words of every text that lie in a run of ``n`` words which a text of smaller number has, too."""
+    seen, out = set(), {}
+    for k, words in enumerate(texts):
+        runs = [tuple(words[a: a + n]) for a in range(len(words) - n + 1)]
+        found = {w for a, run in enumerate(runs) if run in seen for w in range(a, a + n)}
+        out |= {k: found} if found else {}
+        seen.update(runs)
+    return out
+
+
+def test_every_common_run_of_words_is_found(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, later = fresh(56), fresh(300)
+    # Every ten words of the passage stand in an earlier document of their own, so that each seed of it has another first document.
+    texts = [fresh(10) + passage[a: a + 10] + fresh(10) for a in range(0, 50, 2)]
+    texts += [fresh(30) + passage[:40], fresh(20) + passage[16:] + fresh(9), fresh(40) + passage + fresh(20), fresh(70) + passage + fresh(5)]
+    texts += [later[a: a + 80] + fresh(20) for a in range(0, 220, 35)] + [later, fresh(60) + later[100:160]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want, got = common_runs(texts), covered_words(passages.repeats(docs).collect())
+    assert want[28] >= set(range(70, 126)) and all(words <= got.get(k, set()) for k, words in want.items())
+
+
 def test_fingerprints_follow_true_likeness(spark):
     rng = random.Random(3)
     base = rng.choices(VOCABULARY, k=900)
