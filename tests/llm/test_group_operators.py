@@ -183,6 +183,19 @@ def test_every_common_run_of_words_is_found(spark):
     assert want[28] >= set(range(70, 126)) and all(words <= got.get(k, set()) for k, words in want.items())
 
 
+@pytest.mark.parametrize("period", [1, 3, 7, 11, 24])
+def test_repeated_lines_are_found(spark, period):
+    rng = random.Random(period)
+    fresh = lambda n: [f"l{rng.randrange(10**9)}" for _ in range(n)]
+    line = fresh(period)
+    texts = [fresh(20) + (line * 200)[:200] + fresh(20), fresh(33) + (line * 300)[:300] + fresh(12), fresh(5) + (line * 100)[2:92]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    want, rows = common_runs(texts), passages.repeats(docs).collect()
+    got = covered_words(rows)
+    assert len(want[1]) == 300 and len(want[2]) == 90 and all(words <= got.get(k, set()) for k, words in want.items())
+    assert all(r.matched == r.end_word - r.start_word == r.other_end - r.other_start for r in rows) and len(rows) < 20
+
+
 def test_fingerprints_follow_true_likeness(spark):
     rng = random.Random(3)
     base = rng.choices(VOCABULARY, k=900)
