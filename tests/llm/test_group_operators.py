@@ -196,6 +196,20 @@ def test_repeated_lines_are_found(spark, period):
     assert all(r.matched == r.end_word - r.start_word == r.other_end - r.other_start for r in rows) and len(rows) < 20
 
 
+def test_edited_passages_just_over_the_shortest_are_found(spark):
+    rng, texts = random.Random(5), []
+    fresh = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(100):
+        passage = fresh(60)
+        other = list(passage)
+        for k in rng.sample(range(60), 6):
+            other[k] = fresh(1)[0]
+        texts += [fresh(40) + passage + fresh(40), fresh(40) + other + fresh(40)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.other_id) for r in passages.repeats(docs).collect()}
+    assert found <= {(k + 1, k) for k in range(0, 200, 2)} and len(found) >= 90
+
+
 def test_fingerprints_follow_true_likeness(spark):
     rng = random.Random(3)
     base = rng.choices(VOCABULARY, k=900)
