@@ -1,7 +1,7 @@
 """Main text of web pages: blocks of text, with lines that a page shares with its nearest page deleted.
 
-Pages of a host are ordered by URL path; a page is compared with whichever neighbour shares more of its path.  Their
-lines are aligned by longest common subsequence, and shared lines go: they belong to the site.  What the markup itself
+Pages of a host are ordered by URL path, pages of equal lines as one; a page is compared with whichever neighbour shares more of its path.
+Their lines are aligned by longest common subsequence, and shared lines go: they belong to the site.  What the markup itself
 says is then applied to the rest: lines in navigation, footers, adverts, forms, comments of readers and the like go even if no
 neighbour has them, and lines of a page's article stay even if a neighbour quotes them.
 """
@@ -36,6 +36,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 ARTICLE, PLAIN, OUT = 2, 1, 0
+#: A neighbour is a copy if both pages share this part of their lines, and no more than the rest of the page's text would stay.
+COPY_SHARE = 0.9
 
 
 def text_blocks(page: str) -> list[tuple[str, int]]:
@@ -153,6 +155,10 @@ def nearest_lines(pages: DataFrame) -> DataFrame:
     Numbers over the whole order stand in for pages, so a host with a third of all pages is spread like the others.
     """
     rows = ordered(page_lines(pages), ["host", "path", "url", "page_id", "html_hash"], "page-order")
+    rows = rows.withColumnRenamed("_row", "at").withColumn("copy", F.xxhash64("lines"))
+    # Copies stand in the order once, where the first of them is, so that none is the other's neighbour.
+    firsts = ordered(rows.groupBy("host", "copy").agg(F.min("at").alias("at")), ["at"], "copy-order")
+    firsts = firsts.select("at", "_row").join(rows.select("at", "host", "copy", "path", "lines"), "at")
 
     def shared(a: str, b: str):
         same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
@@ -160,12 +166,14 @@ def nearest_lines(pages: DataFrame) -> DataFrame:
         return same["n"]
 
     # Each page offers its lines to the pages before and after it.
-    offers = rows.select(F.explode(F.array(F.col("_row") - 1, F.col("_row") + 1)).alias("to"), F.col("host").alias("h"), F.col("path").alias("p"),
-                         F.col("lines").alias("other"), (F.col("_row")).alias("from_row"))
-    met = rows.drop("lines").join(offers, (F.col("_row") == F.col("to")) & (F.col("host") == F.col("h")))
+    offers = firsts.select(F.explode(F.array(F.col("_row") - 1, F.col("_row") + 1)).alias("to"), F.col("host").alias("h"), F.col("path").alias("p"),
+                           F.col("lines").alias("other"), (F.col("_row")).alias("from_row"))
+    met = firsts.drop("lines").join(offers, (F.col("_row") == F.col("to")) & (F.col("host") == F.col("h")))
     rank = F.struct(-shared("path", "p"), "from_row")
-    # Equal rows (id, URL and text) are one page: the nearest of their neighbours serves all.
-    return met.groupBy("page_id", "url", "html_hash").agg(F.min_by("other", rank).alias("other"))
+    nearest = met.groupBy("host", "copy").agg(F.min_by("other", rank).alias("other"))
+    # Equal rows (id, URL and text) are one page.
+    return rows.select("page_id", "url", "html_hash", "host", "copy").distinct().join(nearest, ["host", "copy"]).select(
+        "page_id", "url", "html_hash", "other")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -173,7 +181,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is empty; a page without text gives an empty string.  Character references are decoded, white space within a
     block becomes one space, blocks are joined by line feeds in page order.  Where a page marks its article, the article
-    is the text; otherwise all lines outside marked parts that the nearest page does not share.  ``n_shared`` counts the lines
+    is the text; otherwise all lines outside marked parts that the nearest page does not share.  Copies of a page are not its
+    nearest page, and a nearest page that is nearly the same deletes nothing.  ``n_shared`` counts the lines
     found on both pages.  Null URLs belong to the empty host.
     """
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,11 @@ def extract(pages: DataFrame) -> DataFrame:
             joined, n_shared = [], []
             for own, other, texts, places, article in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "texts", "places", "article")), strict=True):
                 shared = set(common_lines(own, other)) if other else set()
-                joined.append("\n".join(t for k, t in zip(places, texts, strict=True) if article or k not in shared))
+                kept = [t for k, t in zip(places, texts, strict=True) if article or k not in shared]
+                # Nearly the same page says nothing about the site: no line goes for it.
+                if len(shared) >= COPY_SHARE * max(len(own), len(other or [])) and sum(map(len, kept)) <= (1 - COPY_SHARE) * sum(map(len, texts)):
+                    kept = texts
+                joined.append("\n".join(kept))
                 n_shared.append(len(shared))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(joined, pa.string()), pa.array(n_shared, pa.int64())],
                                              ["page_id", "url", "text", "n_shared"])

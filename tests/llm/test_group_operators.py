@@ -329,3 +329,15 @@ def test_pages(spark):
     assert got[4] == "Head\nOne two\nthree bold x" and got[5] == "Head\nother &am"
     assert got[6] == "" and got[7] == "" and got[None] == "no id"
     assert pages.extract(table.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_keep_its_text(spark):
+    site = "<div>Welcome to our site</div><p>All rights kept</p>"
+    story = "".join(f"<p>Line {k} of the first story</p>" for k in range(30))
+    rows = [(k, url, f"<body>{site}{story}") for k, url in enumerate(["http://a.com/x/1", "http://a.com/x/1", "http://a.com/x/1?print", "http://a.com/x/1b"])]
+    rows += [(4, "http://a.com/x/2", f"<body>{site}<p>Second story</p>"), (5, "http://b.com/1", f"<body>{site}{story}<p>today</p>"),
+             (6, "http://b.com/2", f"<body>{site}{story}<p>yesterday</p>"), (7, "http://c.com/1", f"<body>{site}{story}"), (8, "http://c.com/2", f"<body>{site}{story}")]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "\n".join(f"Line {k} of the first story" for k in range(30))
+    assert all(got[k] == text for k in range(4)) and got[4] == "Second story"
+    assert got[5].endswith(f"{text}\ntoday") and got[6].endswith(f"{text}\nyesterday") and got[7].endswith(text) and got[8].endswith(text)
