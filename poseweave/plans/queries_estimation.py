@@ -145,9 +145,9 @@ eik_rows AS (SELECT run, w, h, nx, sw * (1 - (ax * (v10 - v00) + ay * (v01 - v00
                     sw * (ax + ay) AS d_00, -sw * ax AS d_10, -sw * ay AS d_01 FROM eik)"""
 
 
-@query("eikonal_residuals", f"""WITH {_WORLD}, {GRIDS}, {NODES}, {_EIKONAL}
+@query("eikonal_residuals", materialized(f"""WITH {_WORLD}, {GRIDS}, {NODES}, {_EIKONAL}
 SELECT run, CAST(w AS BIGINT) AS cw, CAST(h AS BIGINT) AS ch, {', '.join(r(c, c) for c in ('r', 'd_00', 'd_10', 'd_01'))}
-FROM eik_rows""")
+FROM eik_rows"""))
 def eikonal_residuals(spark, sf_dir):
     p, nodes, _ = problem(spark, sf_dir)
     return evaluate_eikonal(p, nodes).select(

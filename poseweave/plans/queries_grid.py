@@ -8,7 +8,7 @@ from poseweave.operators.neighbors import build_tree, nearest
 from poseweave.operators.normals import node_normals, scan_normals
 from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
-from poseweave.plans.sqltext import NODES, SCANS, WORLD, grids, r
+from poseweave.plans.sqltext import NODES, SCANS, WORLD, grids, materialized, r
 from poseweave.session import pin
 
 NX, NY, MARGIN = 21, 17, 5.0
@@ -171,7 +171,7 @@ def probe_gradients(spark, sf_dir):
                       shown(F.col("probe_gy")).alias("probe_gy"))
 
 
-@query("map_upsampled", f"""WITH {WORLD}, {GRIDS}, {NODES},
+@query("map_upsampled", materialized(f"""WITH {WORLD}, {GRIDS}, {NODES},
 px AS (SELECT run, nx, ny, col, row, least(col // 3, nx - 2) AS w, least(row // 3, ny - 2) AS h
        FROM grids, (SELECT range AS col FROM range({(NX - 1) * 3 + 1})), (SELECT range AS row FROM range({(NY - 1) * 3 + 1}))),
 f AS (SELECT *, (col - 3 * w) / CAST(3 AS DOUBLE) AS a, (row - 3 * h) / CAST(3 AS DOUBLE) AS b FROM px)
@@ -180,7 +180,7 @@ SELECT l.run, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col,
 FROM f l JOIN nodes p ON p.run = l.run AND p.w = l.w AND p.h = l.h
 JOIN nodes q ON q.run = l.run AND q.w = l.w + 1 AND q.h = l.h
 JOIN nodes s ON s.run = l.run AND s.w = l.w AND s.h = l.h + 1
-JOIN nodes t ON t.run = l.run AND t.w = l.w + 1 AND t.h = l.h + 1""")
+JOIN nodes t ON t.run = l.run AND t.w = l.w + 1 AND t.h = l.h + 1"""))
 def map_upsampled(spark, sf_dir):
     _, _, grid, nodes = initial_map(spark, sf_dir)
     return G.upsample(nodes, grid, RUN, 3).withColumn("value", shown(F.col("value")))

@@ -37,7 +37,11 @@ def test_streamed_increments_equal_the_loop(spark, tmp_path):
     loop = run_incremental(points, poses, config, on_snapshot=lambda frames, nodes, estimate: snapshots.append(frames))
     assert snapshots == [3]
     total = loop.control.first()
-    assert total.iterations == 2 and len(total.cost_history) == 2
+    history = total.cost_history
+    # Every increment starts its history with its own initial cost.
+    assert total.iterations == 2 and len(history) == 4
+    assert history[0] == total.initial_cost and history[3] == total.final_cost
+    assert history[1] < history[0] and history[3] < history[2] != history[1]
     folder = str(tmp_path / "scans")
     points.where("frame < 2").coalesce(1).write.parquet(folder)
     points.where("frame = 2").coalesce(1).write.mode("append").parquet(folder)
