@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import chat, fingerprints, jaccard, pages, passages, toxicity, vptree
+from poseweave.llm import chat, fingerprints, jaccard, pages, passages, runs, toxicity, vptree
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -108,3 +108,36 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that documents of smaller id have, too."""
     return passages.repeats(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` whose every tenth text, by the checksum of its id, ends in a repeated period; a null id plants nothing.
+
+    The words from ``a`` on repeat the ``p`` words from there.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    n = lambda words: F.size(words)
+    cut = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
+    def repeated(words):
+        a = F.pmod(g, F.greatest(n(words), F.lit(1))).cast("int")
+        p = (1 + F.floor((n(words) - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        spots = F.transform(F.array(F.struct(a.alias("a"), p.alias("p"))), lambda s: F.transform(
+            words, lambda w, i: F.when(i < s["a"], w).otherwise(F.get(words, s["a"] + F.pmod(i - s["a"], s["p"])))))
+        return F.array_join(spots[0], " ")
+
+    planted = F.transform(F.array(cut), repeated)[0]
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")))
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least three periods and 24 words in all documents, every tenth of them with a planted period."""
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), digests=True)
+    # The strongest run: a longer one of equal exponent, compared exactly, does not replace an earlier one.
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    found = found.withColumn("_best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")),
+                        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
