@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import chat, fingerprints, jaccard, pages, passages, runs, toxicity, vptree
+from poseweave.llm import chat, fingerprints, jaccard, language, pages, passages, runs, toxicity, vptree
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -141,3 +141,11 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.withColumn("_best", best)
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")),
                         F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_language")
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by dictionaries learnt from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    told = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return told.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
