@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poseweave.llm import chat, fingerprints, jaccard, language, pages, passages, runs, toxicity, vptree
+from poseweave.llm import chat, fingerprints, jaccard, language, pages, passages, runs, spelling, toxicity, vptree
 from poseweave.llm.common import table
 from poseweave.llm.mixing import mix
 from poseweave.llm.packing import pack
@@ -149,3 +149,9 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     told = language.identify(docs.select("doc_id", "text"), language.fit(docs))
     return told.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+@query("op12_spelling")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents, one of 199 words misspelt."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), one_in=199))
