@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poseweave.llm.common import with_text_columns
+from poseweave.llm.common import perhaps_in, with_text_columns
 
 #: Bound of the labelled sample: rows of each language, the first in a seeded order.
 SAMPLE_ROWS = 2_048
@@ -112,7 +112,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int =
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     chosen = rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= sample_rows).drop("_place")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    texts = usable.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
+    # The sample's texts are few: a filter of fixed size keeps all others from the shuffle of the exact join.
+    texts = perhaps_in(usable.select("doc_id", "lang", "text"), chosen, "doc_id").join(chosen, ["doc_id", "lang"]).select("lang", "text")
     words = texts.mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_use = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     # A word takes two bytes at least, so this rank bounds the words that can be used.
