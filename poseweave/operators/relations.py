@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from poseweave.functions.linalg import clamp, symmetric_eigen
 from poseweave.functions.pose import Pose, apply, pose, pose_error, relative
+from poseweave.operators.alignment import align_scans
 from poseweave.operators.neighbors import CellTree, build_tree, nearest
 from poseweave.operators.normals import pca_normals
 from poseweave.operators.ordered import quantiles
@@ -173,12 +174,12 @@ class Aligner:
         return found.withColumn("gap", gap)
 
     def align(self, pairs: DataFrame, max_iterations: int = 200, tolerance: float = 1e-9) -> DataFrame:
-        """Refine seeds ``(run, i, j, dx, dy, dtheta)``; adds ``residual, inliers``.
+        """Refine seeds ``(run, i, j, dx, dy, dtheta)``; adds ``residual, inliers, converged, rounds``.
 
         The residual is the median distance before the last step; fewer than three inliers give an
         infinite residual and leave the transform as it was.
         """
-        nothing = [F.lit(0).cast("bigint").alias("inliers"), F.lit(False).alias("lost"), F.lit(False).alias("done")]
+        nothing = [F.lit(0).cast("bigint").alias("inliers"), F.lit(False).alias("lost"), F.lit(False).alias("done"), F.lit(0).cast("bigint").alias("rounds")]
         live = pin(pairs.select(*PAIR, *MOTION, *[F.col(m).alias(f"before_{m}") for m in MOTION], *nothing), "icp")
         settled = live.where(F.lit(False))
         for _ in range(max_iterations):
@@ -196,7 +197,8 @@ class Aligner:
         gaps = self.matches(before).withColumn("gap", F.abs("gap"))
         medians = quantiles(gaps, PAIR, "gap", {"residual": 0.5})
         return state.join(medians, PAIR, "left").select(
-            *PAIR, *MOTION, F.when(F.col("lost"), F.lit(float("inf"))).otherwise(F.col("residual")).alias("residual"), "inliers")
+            *PAIR, *MOTION, F.when(F.col("lost") | (F.col("rounds") == 0), F.lit(float("inf"))).otherwise(F.col("residual")).alias("residual"),
+            "inliers", (F.col("done") & ~F.col("lost")).alias("converged"), "rounds")
 
     @staticmethod
     def _normal_sums(matches: DataFrame) -> DataFrame:
@@ -244,8 +246,8 @@ def _align_step(tolerance: float):
             yield pd.DataFrame({
                 **{k: pdf[k] for k in PAIR}, "dx": c * x - s * y + step[:, 0], "dy": s * x + c * y + step[:, 1],
                 "dtheta": angle, "before_dx": x, "before_dy": y, "before_dtheta": t,
-                "inliers": pdf.inliers.astype("int64"), "lost": lost, "done": lost | small})[
-                    [*PAIR, *MOTION, *[f"before_{m}" for m in MOTION], "inliers", "lost", "done"]]
+                "inliers": pdf.inliers.astype("int64"), "lost": lost, "done": lost | small, "rounds": pdf.rounds + 1})[
+                    [*PAIR, *MOTION, *[f"before_{m}" for m in MOTION], "inliers", "lost", "done", "rounds"]]
 
     return run
 
@@ -271,16 +273,20 @@ def residual_weights(relations: DataFrame, cap: float = 4.0) -> DataFrame:
     return floored.join(middle, "run").withColumn("weight", clamp(ratio * ratio, 1.0 / cap, cap)).drop("_sigma", "_median")
 
 
+def judge_relations(points: DataFrame, poses: DataFrame, pairs: DataFrame, max_iterations: int = 200,
+                    max_correspondence: float = 1.0, **guards) -> DataFrame:
+    """Align all pairs and name the guard each one fails in ``reason``; columns of :func:`align_scans`, and the seeds."""
+    start = pin(seeds(pairs, poses), "seeds")
+    aligned = align_scans(points, start, max_iterations, max_correspondence=max_correspondence)
+    seen = start.select(*PAIR, *[F.col(m).alias(f"seed_{m}") for m in MOTION]).join(aligned, PAIR)
+    return pin(guard(seen, **guards), "judged")
+
+
 def build_relations(points: DataFrame, poses: DataFrame, pairs: DataFrame, weighted: bool = False,
                     max_iterations: int = 200, max_correspondence: float = 1.0, **guards) -> tuple[DataFrame, DataFrame]:
     """Align all pairs, apply the guards and weigh the survivors: (relations, drop counts)."""
-    aligner = Aligner(points, max_correspondence)
-    start = pin(seeds(pairs, poses), "seeds")
-    aligned = pin(aligner.align(start, max_iterations), "aligned")
-    seen = start.select(*PAIR, *[F.col(m).alias(f"seed_{m}") for m in MOTION]).join(aligned, PAIR).join(
-        aligner.observability(aligned), PAIR, "left")
-    judged = pin(guard(seen, **guards), "judged")
-    kept = judged.where("reason IS NULL").select(*PAIR, *MOTION, "residual", "inliers")
+    judged = judge_relations(points, poses, pairs, max_iterations, max_correspondence, **guards)
+    kept = judged.where("reason IS NULL").select(*PAIR, *MOTION, "residual", "inliers", "converged")
     kept = residual_weights(kept) if weighted else kept.withColumn("weight", F.lit(1.0))
     dropped = judged.where("reason IS NOT NULL").groupBy("run", "reason").agg(F.count(F.lit(1)).alias("dropped"))
     return kept, dropped
@@ -306,11 +312,9 @@ def refine_odometry(points: DataFrame, poses: DataFrame, motions: DataFrame, max
     """
     from poseweave.operators.trajectory import append_frames
 
-    aligner = Aligner(points, max_correspondence)
-    aligned = aligner.align(motions, max_iterations).select(
-        *PAIR, *[F.col(m).alias(f"icp_{m}") for m in MOTION], "residual", "inliers")
-    seen = motions.join(aligned, PAIR).join(
-        aligner.scan_observability().withColumnRenamed("frame", "i"), ["run", "i"], "left")
+    aligned = align_scans(points, motions, max_iterations, max_correspondence=max_correspondence).select(
+        *PAIR, *[F.col(m).alias(f"icp_{m}") for m in MOTION], "residual", "inliers", F.col("target_observability").alias("observability"))
+    seen = motions.select(*PAIR, *MOTION).join(aligned, PAIR)
     good = F.coalesce((F.col("residual") <= max_residual) & (F.col("inliers") >= min_inliers)
                       & (F.col("observability") >= min_observability), F.lit(False))
     chosen = pin(seen.withColumn("refined", good).select(

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from poseweave.functions.linalg import shown
 from poseweave.operators import relations as L
+from poseweave.operators.alignment import alignment_sums
 from poseweave.operators.stability import gap_deviation, rigid_deviation, summarise_ensemble
 from poseweave.operators.thinning import decimate
 from poseweave.operators.trajectory import odometry
 from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
 from poseweave.plans.queries_grid import _LOCAL_NEAR, _normals_sql
-from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, WORLD, integrated, r
+from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, WORLD, integrated, materialized, r
 from poseweave.session import pin
 
 MIN_GAP, RADIUS = 10, 3.0
@@ -146,22 +147,41 @@ def relation_scores(spark, sf_dir):
     return scores.select("run", "n", *[shown(F.col(c)).alias(c) for c in ("t_mean", "t_med", "r_mean", "r_med")])
 
 
+_SUMS = {f"h{p}{q}": f"sum(a{p} * a{q})" for p in range(3) for q in range(p, 3)} | {f"g{p}": f"sum(a{p} * gap)" for p in range(3)}
+
+
+@query("alignment_sums", materialized(f"""WITH {WORLD}, {integrated('drift', 'dtheta * CAST(1.02 AS DOUBLE)')}, {_MATCH},
+{_LOCAL_NEAR.replace('<= 3', '<= 5')}, {_normals_sql('sx', 'sy', ('zx', 'zy'))},
+line AS (SELECT h.run, h.i, h.j, n.normal_x AS a0, n.normal_y AS a1, n.normal_y * q.x - n.normal_x * q.y AS a2,
+                n.normal_x * (p.sx - q.x) + n.normal_y * (p.sy - q.y) AS gap
+         FROM hit h JOIN moved q ON q.run = h.run AND q.i = h.i AND q.j = h.j AND q.idx = h.idx
+              JOIN world p ON p.run = h.run AND p.frame = h.i AND p.idx = h.n_idx
+              JOIN normals n ON n.run = h.run AND n.frame = h.i AND n.idx = h.n_idx WHERE sqrt(h.d2) < 10)
+SELECT m.run, m.i, m.j, {', '.join(r(f'coalesce({v}, 0)', c) for c, v in _SUMS.items())}, count(a0) AS inliers
+FROM m LEFT JOIN line USING (run, i, j) GROUP BY m.run, m.i, m.j"""))
+def alignment_sums_of_steps(spark, sf_dir):
+    """Normal equations of the first alignment round of all neighbouring frames."""
+    found = alignment_sums(T.frame_scans(spark, sf_dir), odometry(T.drifted(spark, sf_dir), ["run"]), max_correspondence=10.0)
+    return found.select("run", "i", "j", *[shown(F.col(c)).alias(c) for c in _SUMS], "inliers")
+
+
 @query("icp_relations")
 def icp_relations(spark, sf_dir):
-    """Relations of the selected pairs with their weights, after up to five alignment rounds."""
+    """All selected pairs, aligned to the end under the operators' own limits, with the guard each one fails, if any.
+
+    The weight is that among the relations that are kept.
+    """
     trajectory = pin(T.poses(spark, sf_dir), "poses")
-    pairs = L.select_pairs(trajectory, MIN_GAP, RADIUS, 1)
-    kept, _ = L.build_relations(T.frame_scans(spark, sf_dir), trajectory, pairs, weighted=True, max_iterations=5,
-                                max_correspondence=20.0, max_residual=3.0, min_inliers=3, min_observability=0.0, max_seed_shift=30.0, max_seed_rotation=180.0)
-    return kept
+    judged = L.judge_relations(T.frame_scans(spark, sf_dir), trajectory, L.select_pairs(trajectory, MIN_GAP, RADIUS, 1))
+    weights = L.residual_weights(judged.where("reason is null")).select(*L.PAIR, "weight")
+    return judged.drop(*[f"seed_{m}" for m in L.MOTION], "target_observability").join(weights, L.PAIR, "left")
 
 
 @query("icp_odometry")
 def icp_odometry(spark, sf_dir):
-    """Poses integrated from wheel motions, replaced by aligned ones where the guards allow it."""
+    """Poses integrated from wheel motions, replaced by aligned ones where the operators' own guards allow it."""
     trajectory = pin(T.poses(spark, sf_dir), "poses")
-    out, _ = L.refine_odometry(T.frame_scans(spark, sf_dir), trajectory, odometry(trajectory, ["run"]), max_residual=2.0,
-                               max_correspondence=15.0, min_inliers=3, min_observability=0.0, max_iterations=3)
+    out, _ = L.refine_odometry(T.frame_scans(spark, sf_dir), trajectory, odometry(trajectory, ["run"]))
     return out
 
 
