@@ -89,42 +89,92 @@ def revisit_pairs(poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
     return late.join(old, ["run", "bx", "by"]).where((F.col("i") < F.col("j") - min_gap) & near).select(*PAIR)
 
 
+#: Frames of a block are ``BASE`` blocks of the level below.
+BASE = 4
+
+
+def _block_size(level: Column) -> Column:
+    return F.pow(F.lit(float(BASE)), level).cast("bigint")
+
+
+def disc_blocks(poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
+    """``(run, j, level, span)``: disjoint blocks of frames i < j - min_gap, together all whose pose is within ``radius`` of that of j.
+
+    A block holds the frames ``span * 4^level … (span + 1) * 4^level - 1`` of a run, with the bounding box of their poses.  The frames before
+    ``j - min_gap`` are a few blocks a level; a block whose box is within the radius is taken whole, one beyond it dropped, any other
+    replaced by its parts, a frame at last.  A robot that stands still has boxes of no size, so nothing is refined, however long it
+    stands.  Joins are equi-joins on the block, one a level.
+    """
+    base = pin(poses.select("run", "frame", "x", "y"), "disc-poses")
+    last = base.agg(F.max("frame")).first()[0] or 0
+    top = max(0, math.ceil(math.log(last + 1, BASE)))
+    homes = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    homes = homes.withColumn("span", F.floor(F.col("frame") / _block_size(F.col("level"))))
+    boxes = pin(homes.groupBy("run", "level", "span").agg(F.min("x").alias("lo_x"), F.max("x").alias("hi_x"),
+                                                           F.min("y").alias("lo_y"), F.max("y").alias("hi_y")), "disc-boxes")
+    end = F.col("j") - min_gap
+    asked = base.where(F.col("frame") > min_gap).select("run", F.col("frame").alias("j"), "x", "y").withColumn(
+        "level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    first, stop = F.floor(end / _block_size(F.col("level") + 1)) * BASE, F.floor(end / _block_size(F.col("level")))
+    cover = pin(asked.where(first < stop).withColumn("span", F.explode(F.sequence(first, stop - 1))), "disc-cover")
+
+    def reach(axis: str) -> tuple[Column, Column]:
+        low, high = F.col(axis) - F.col(f"lo_{axis}"), F.col(f"hi_{axis}") - F.col(axis)
+        return F.greatest(F.lit(0.0), -low, -high), F.greatest(F.abs(low), F.abs(high))
+
+    (near_x, far_x), (near_y, far_y) = reach("x"), reach("y")
+    taken, rest = None, None
+    for level in range(top, -1, -1):
+        now = cover.where(F.col("level") == level)
+        now = now if rest is None else now.unionByName(rest)
+        seen = now.join(boxes.where(F.col("level") == level).drop("level"), ["run", "span"]).where(F.hypot(near_x, near_y) < radius)
+        seen = pin(seen.withColumn("whole", F.hypot(far_x, far_y) < radius).select("run", "j", "x", "y", "level", "span", "whole"), "disc")
+        found = seen.where("whole").select("run", "j", "level", "span")
+        taken = found if taken is None else taken.unionByName(found)
+        parts = F.sequence(F.col("span") * BASE, F.col("span") * BASE + BASE - 1)
+        rest = seen.where("not whole").select("run", "j", "x", "y", (F.col("level") - 1).alias("level"), F.explode(parts).alias("span"))
+    return taken
+
+
+def revisit_intervals(poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
+    """``(run, j, i_from, i_to)``: the longest runs of frames i < j - min_gap whose poses are all within ``radius`` of that of j.
+
+    The rows of a frame are as many as the robot's visits, whatever their length.  Frames that a run does not have end no interval
+    within a block; :func:`expand_intervals` gives those that exist.
+    """
+    blocks = disc_blocks(poses, min_gap, radius)
+    size = _block_size(F.col("level"))
+    ends = blocks.select("run", "j", (F.col("span") * size).alias("a"), ((F.col("span") + 1) * size - 1).alias("b"))
+    order = Window.partitionBy("run", "j").orderBy("a")
+    opens = F.coalesce(F.lag("b").over(order) + 1 < F.col("a"), F.lit(True)).cast("int")
+    numbered = ends.withColumn("_opens", opens).withColumn("_visit", F.sum("_opens").over(order))
+    return numbered.groupBy("run", "j", "_visit").agg(F.min("a").alias("i_from"), F.max("b").alias("i_to")).drop("_visit")
+
+
+def expand_intervals(intervals: DataFrame, poses: DataFrame) -> DataFrame:
+    """All pairs ``(run, i, j)`` of :func:`revisit_intervals`, for those who need the list itself."""
+    pairs = intervals.select("run", F.explode(F.sequence("i_from", "i_to")).alias("i"), "j")
+    return pairs.join(poses.select("run", F.col("frame").alias("i")), ["run", "i"], "left_semi").select(*PAIR)
+
+
 def revisit_distances(world: DataFrame, poses: DataFrame, min_gap: int, radius: float) -> DataFrame:
     """Distance of every point of frame j to the nearest point of its revisited old frames.
 
-    ``world`` is ``(run, frame, idx, gx, gy)``; output ``(run, j, idx, distance)``.  The frames up to ``j - min_gap`` are covered
-    by dyadic blocks with one tree for each block and pose bucket; a point asks for more neighbours until one comes from a pose
-    within the radius.  No pool of old points is copied for a frame, however many there are.
+    ``world`` is ``(run, frame, idx, gx, gy)``; output ``(run, j, idx, distance)``.  The old frames of j are the blocks of
+    :func:`disc_blocks`; the points of every block that some frame takes have one tree, which is asked for one neighbour, once.  No pool
+    of old points is copied for a frame, however many there are.
     """
-    bucketed = pin(poses.select("run", "frame", "x", "y").withColumns(_pose_bucket(radius)), "revisit")
-    points = pin(world.select("run", "frame", "idx", "gx", "gy").join(
-        bucketed.withColumnsRenamed({"x": "px", "y": "py"}), ["run", "frame"]), "revisit")
-    frames = bucketed.where(F.col("frame") >= min_gap).select("run", "frame")
-    top = top_level(points)
-    group = ["run", "level", "span", "bx", "by"]
-    home = dyadic_home(points.select("run", F.col("frame").alias("i"), "idx", F.col("gx").alias("x"),
-                                     F.col("gy").alias("y"), "px", "py", "bx", "by"), "i", top)
-    asking = points.join(frames, ["run", "frame"], "left_semi").select(
-        "run", F.col("frame").alias("j"), F.col("idx").alias("q"), F.col("gx").alias("x"), F.col("gy").alias("y"),
-        F.col("px").alias("qx"), F.col("py").alias("qy"), "bx", "by")
-    open_queries = pin(dyadic_cover(_around(asking), F.lit(0), F.col("j") - min_gap, top), "revisit")
-    key, k, best = ["run", "j", "q"], 4, None
-    while True:
-        tree = build_tree(home, group, ["i", "idx"], copies=k)
-        found = nearest(open_queries, ["j", "q"], tree, k, ["i", "idx"], ["px", "py"])
-        valid = F.hypot(F.col("n_px") - F.col("qx"), F.col("n_py") - F.col("qy")) < radius
-        seen = pin(found.groupBy(*group, "j", "q").agg(
-            F.count(F.lit(1)).alias("n"), F.max("d2").alias("reach"), F.min(F.when(valid, F.col("d2"))).alias("hit")), "revisit")
-        hits = seen.where("hit IS NOT NULL").select(*key, "hit")
-        best = hits if best is None else best.unionByName(hits)
-        best = pin(best.groupBy(*key).agg(F.min("hit").alias("hit")), "revisit")
-        # A block is settled once it gave a hit, ran out of points, or only has points beyond the best hit.
-        unsettled = seen.where(F.col("hit").isNull() & (F.col("n") >= k)).drop("hit").join(best, key, "left").where(
-            F.col("hit").isNull() | (F.col("reach") < F.col("hit")))
-        open_queries = pin(open_queries.join(unsettled.select(*group, "j", "q"), [*group, "j", "q"], "left_semi"), "revisit")
-        if open_queries.limit(1).count() == 0:
-            return best.select("run", "j", F.col("q").alias("idx"), F.sqrt("hit").alias("distance"))
-        k *= 4
+    group = ["run", "level", "span"]
+    blocks = pin(disc_blocks(poses, min_gap, radius), "revisit-blocks")
+    points = pin(world.select("run", "frame", "idx", F.col("gx").alias("x"), F.col("gy").alias("y")), "revisit-points")
+    wanted = blocks.select(*group).distinct()
+    levels = [r["level"] for r in blocks.select("level").distinct().collect()]
+    homes = points.withColumn("level", F.explode(F.array(*(F.lit(n) for n in sorted(levels)))) if levels else F.lit(0))
+    homes = homes.withColumn("span", F.floor(F.col("frame") / _block_size(F.col("level")))).join(wanted, group, "left_semi")
+    tree = build_tree(homes.select(*group, F.col("frame").alias("i"), "idx", "x", "y"), group, ["i", "idx"], copies=1)
+    asking = points.select("run", F.col("frame").alias("j"), F.col("idx").alias("q"), "x", "y").join(blocks, ["run", "j"])
+    found = nearest(asking, ["j", "q"], tree, 1, ["i", "idx"], ["i"], block_rows=None)
+    return found.groupBy("run", "j", F.col("q").alias("idx")).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
 def revisit_score(world: DataFrame, poses: DataFrame, min_gap: int, radius: float) -> DataFrame:

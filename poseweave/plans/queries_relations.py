@@ -49,6 +49,13 @@ def revisit_pairs(spark, sf_dir):
     return L.revisit_pairs(T.poses(spark, sf_dir), MIN_GAP, RADIUS)
 
 
+@query("revisit_intervals", f"""WITH {POSES}, {_REVISIT},
+island AS (SELECT *, i - row_number() OVER (PARTITION BY run, j ORDER BY i) AS visit FROM revisit)
+SELECT run, j, min(i) AS i_from, max(i) AS i_to FROM island GROUP BY run, j, visit""")
+def revisit_intervals(spark, sf_dir):
+    return L.revisit_intervals(T.poses(spark, sf_dir), MIN_GAP, RADIUS)
+
+
 @query("revisit_scores", f"""WITH {WORLD}, {_REVISIT}, near AS (
   SELECT q.run, q.frame, q.idx, sqrt(min((p.gx - q.gx) * (p.gx - q.gx) + (p.gy - q.gy) * (p.gy - q.gy))) AS d
   FROM revisit v JOIN world q ON q.run = v.run AND q.frame = v.j JOIN world p ON p.run = v.run AND p.frame = v.i
