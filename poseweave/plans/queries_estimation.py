@@ -236,7 +236,7 @@ def solved_step(spark, sf_dir):
     p, nodes, trajectory = problem(spark, sf_dir)
     entries = pin(normal_equations(p, nodes, trajectory), "entries")
     control = entries.select("run", F.lit(1.0).alias("lam")).distinct()
-    step = solve_step(entries, control, SolverOptions())
+    step = solve_step(entries, control, SolverOptions(), nodes, trajectory)
     upper = damped(entries, control, False).where("j IS NOT NULL")
     both = upper.unionByName(upper.where("i <> j").select("run", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
     back = both.join(step.select("run", F.col("col").alias("j"), "delta"), ["run", "j"]).groupBy("run", F.col("i").alias("col")).agg(
