@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from poseweave.functions.linalg import shown
+from poseweave.operators.ordered import number_rows
 from poseweave.operators.trajectory import odometry, trajectory_errors
 from poseweave.plans import tables as T
 from poseweave.plans.catalog import query
@@ -10,15 +11,15 @@ from poseweave.plans.queries_grid import GRIDS, NODES, RUN, initial_map
 from poseweave.plans.queries_pose import _STEP
 from poseweave.plans.queries_relations import THIN_SQL
 from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, SCANS, WORLD, r
+from poseweave.session import pin, scratch_path
 from poseweave.sources import carmen, textfiles
 from poseweave.streaming.odometry import stream_odometry
+from poseweave.streaming.thinning import stream_tracks
 
 
 @query("pcd_round_trip", f"WITH {SCANS} SELECT scan, idx, {r('sx', 'sx')}, {r('sy', 'sy')} FROM "
        "(SELECT scan, row_number() OVER (PARTITION BY scan ORDER BY idx) - 1 AS idx, sx, sy FROM scans)")
 def pcd_round_trip(spark, sf_dir):
-    from poseweave.operators.ordered import number_rows
-
     dense = number_rows(T.scans(spark, sf_dir).withColumnRenamed("idx", "beam"), ["scan"], ["beam"], "idx")
     lines = textfiles.render_pcd(dense.withColumn("file", F.concat(F.lit("scan"), F.col("scan"))))
     points = textfiles.parse_pcd(lines)
@@ -109,15 +110,14 @@ def relation_text(spark, sf_dir):
     """Benchmark relation lines between frames one and two steps apart, keyed by log timestamps."""
     m = T.motions(spark, sf_dir)
     later = m.select("run", (F.col("frame") - 2).alias("frame"), F.col("scan").alias("other"))
-    rows = m.where(F.col("scan") % 9 == 0).join(later, ["run", "frame"])
+    rows = m.join(later, ["run", "frame"])
     line = F.concat_ws(" ", (F.col("scan") + 0.5).cast("string"), (F.col("other") + 0.5).cast("string"), F.col("dx").cast("string"),
                        F.lit("0.25 0 0 0"), F.col("dtheta").cast("string"))
     return rows.select("run", F.lit("relations").alias("file"), F.col("scan").alias("line_no"), line.alias("line"))
 
 
 _WANTED = """wanted AS (
-  SELECT a.run, a.scan AS s1, b.scan AS s2, a.dx, a.dtheta FROM motions a JOIN motions b ON b.run = a.run AND b.frame = a.frame + 2
-  WHERE a.scan % 9 = 0)"""
+  SELECT a.run, a.scan AS s1, b.scan AS s2, a.dx, a.dtheta FROM motions a JOIN motions b ON b.run = a.run AND b.frame = a.frame + 2)"""
 _THIN = THIN_SQL.format(source="lasers", travel=2.03, turn=0.2512)
 _SLOTS = f"""{_THIN}, chosen AS (
   SELECT run, frame AS message FROM kept WHERE frame = last
@@ -175,8 +175,39 @@ def log_relations(spark, sf_dir):
     return out.select("run", "line_no", "i", "j", *[shown(F.col(c)).alias(c) for c in ("dx", "dy", "dtheta")])
 
 
+#: Micro-batches the events are dealt to, in time order, and events of one file.
+FEED_BATCHES, FEED_ROWS = 5, 1 << 20
+
+
+def event_feed(spark, sf_dir):
+    """The events as files in time order and the number of files of a micro-batch."""
+    rows = T.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    numbered = pin(number_rows(rows, [], ["ts", "event_id"], "at", total="n"), "feed-rows")
+    folder = scratch_path(spark, "feed")
+    files = 1 + numbered.count() // (FEED_BATCHES * FEED_ROWS)
+    for k in range(FEED_BATCHES):
+        part = numbered.where(F.floor(F.col("at") * FEED_BATCHES / F.col("n")) == k).drop("at", "n")
+        part.repartition(files).write.mode("append").parquet(folder)
+    return folder, files
+
+
 @query("streamed_trajectory", f"WITH {POSES} SELECT run, frame, {r('x', 'x')}, {r('y', 'y')}, {r('theta', 'theta')} FROM poses")
 def streamed_trajectory(spark, sf_dir):
-    """The trajectory query as a stream over the events folder."""
-    out = stream_odometry(spark, sf_dir, T.motion_events)
+    """The trajectory query as a stream over the events in several micro-batches."""
+    folder, files = event_feed(spark, sf_dir)
+    out = stream_odometry(spark, folder, T.motion_events, pattern="*.parquet", files_per_batch=files)
     return out.select("run", "frame", *[shown(F.col(c)).alias(c) for c in ("x", "y", "theta")])
+
+
+@query("streamed_thinning", f"""WITH RECURSIVE {POSES}, {THIN_SQL.format(source='poses', travel=2.03, turn=0.2512)},
+steps AS (SELECT run, frame, scan, dx, dtheta FROM motions)
+SELECT p.run, p.frame, s.scan, {r('s.dx', 'dx')}, {r('s.dtheta', 'dtheta')}, {r('p.x', 'x')}, {r('p.y', 'y')}, {r('p.theta', 'theta')},
+       k.frame IS NOT NULL AS kept
+FROM poses p JOIN steps s ON s.run = p.run AND s.frame = p.frame
+LEFT JOIN (SELECT run, frame FROM kept WHERE frame = last) k ON k.run = p.run AND k.frame = p.frame""")
+def streamed_thinning(spark, sf_dir):
+    """Poses, motions and kept frames from keyed state, in several micro-batches."""
+    folder, files = event_feed(spark, sf_dir)
+    out = stream_tracks(spark, folder, T.motion_events, scratch_path(spark, "tracks"), scratch_path(spark, "progress"), 2.03, 0.2512,
+                        files_per_batch=files)
+    return out.select("run", "frame", "scan", *[shown(F.col(c)).alias(c) for c in ("dx", "dtheta", "x", "y", "theta")], "kept")

@@ -42,28 +42,47 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder that :func:`release` removes."""
+    _pinned.append(new_path(spark, label))
+    return _pinned[-1]
+
+
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage for iterative operators, survives executor loss (the files do not live on
     executors) and hands the next stage exact table sizes.
     """
-    path = new_path(df.sparkSession, label)
-    _pinned.append(path)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pinned_paths() -> list[str]:
-    """Folders written by ``pin`` and not yet removed, oldest first."""
+    """Folders written by ``pin`` or handed out by ``scratch_path`` and not yet removed, oldest first."""
     return list(_pinned)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    files, where = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Remove pinned tables, all by default.  Call it when the frames read from them have been consumed."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in list(_pinned if paths is None else paths):
-        where = hadoop(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)
         if path in _pinned:
             _pinned.remove(path)

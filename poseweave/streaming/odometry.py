@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from poseweave.functions.pose import Pose, compose, pose
 from poseweave.operators.ordered import number_rows
 from poseweave.operators.trajectory import integrate
-from poseweave.session import new_path
+from poseweave.session import scratch_path
 
 LAST = "run bigint, ts bigint, scan bigint, frame bigint, x double, y double, theta double"
 OUTPUT = "run bigint, frame bigint, x double, y double, theta double"
@@ -45,7 +45,7 @@ def stream_odometry(spark: SparkSession, folder: str, to_steps, pattern: str = "
     ``to_steps`` turns the raw rows into motion events.  Files form the micro-batches in their
     modification order; progress, state and output live in the shared folder.
     """
-    out, state, progress = (new_path(spark, f"stream-{part}") for part in ("poses", "state", "progress"))
+    out, state, progress = (scratch_path(spark, f"stream-{part}") for part in ("poses", "state", "progress"))
 
     def consume(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

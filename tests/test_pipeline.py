@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -42,15 +43,24 @@ def test_streamed_increments_equal_the_loop(spark, tmp_path):
     assert total.iterations == 2 and len(history) == 4
     assert history[0] == total.initial_cost and history[3] == total.final_cost
     assert history[1] < history[0] and history[3] < history[2] != history[1]
-    folder = str(tmp_path / "scans")
+    folder, places = str(tmp_path / "scans"), {part: str(tmp_path / part) for part in ("state", "progress")}
+    asked = (poses.where("frame = 0"), odometry(poses, ["run"]), make_grids(points, poses, config.map), config)
     points.where("frame < 2").coalesce(1).write.parquet(folder)
+    first = stream_incremental(spark, folder, *asked, **places)
+    assert first.poses.count() == 2
+    # Stopped and called again: the stream goes on from its state and reads the new file only.
+    written = set(os.listdir(tmp_path / "state" / "points"))
     points.where("frame = 2").coalesce(1).write.mode("append").parquet(folder)
-    streamed = stream_incremental(spark, folder, poses.where("frame = 0"), odometry(poses, ["run"]),
-                                  make_grids(points, poses, config.map), config)
+    streamed = stream_incremental(spark, folder, *asked, **places)
+    assert set(os.listdir(tmp_path / "state" / "points")) - written == {"1"}
     a = loop.poses.orderBy("frame").select("x", "y", "theta").toPandas().to_numpy()
     b = streamed.poses.orderBy("frame").select("x", "y", "theta").toPandas().to_numpy()
     assert a.shape == (3, 3) and np.abs(a - b).max() < 1e-9
     assert streamed.control.first().iterations == 2
+    # Batches that are committed change nothing when they come again, under a checkpoint that has forgotten them.
+    again = stream_incremental(spark, folder, *asked, state=places["state"], progress=str(tmp_path / "other"))
+    assert np.array_equal(b, again.poses.orderBy("frame").select("x", "y", "theta").toPandas().to_numpy())
+    assert again.control.first().iterations == 2
 
 
 def test_configured_batch_run_writes_outputs(spark, tmp_path):
