@@ -18,6 +18,7 @@ from poseweave.operators.trajectory import append_frames, odometry, trajectory_e
 from poseweave.plans.solve import SolverOptions, solve
 from poseweave.session import pin
 from poseweave.sources.config import MapOptions, RunConfig, jittered
+from poseweave.sources.named import write_snapshot
 from poseweave.sources.textfiles import (load_dataset, metrics_json, parse_poses, parse_relations, read_lines, render_csv,
                                          render_map, write_lines)
 
@@ -178,9 +179,10 @@ def run_config(spark: SparkSession, config: RunConfig) -> Result:
     if config.mode == "batch":
         result = run_batch(points, poses, config, relations, listed(config.initial_poses) if config.initial_poses else None)
     else:
+        grids = pin(make_grids(points, poses, config.map), "grids")
+
         def snapshot(frames: int, nodes: DataFrame, estimate: DataFrame) -> None:
-            nodes.write.mode("overwrite").parquet(f"{config.output_dir}/snapshots/map/frames={frames:06d}")
-            estimate.write.mode("overwrite").parquet(f"{config.output_dir}/snapshots/poses/frames={frames:06d}")
+            write_snapshot(nodes, grids, estimate, f"{config.output_dir}/snapshots", frames)
 
         result = run_incremental(points, poses, config, relations, snapshot)
     truth = listed(config.ground_truth_poses) if config.ground_truth_poses else None

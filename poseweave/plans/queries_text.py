@@ -13,6 +13,7 @@ from poseweave.plans.queries_relations import THIN_SQL
 from poseweave.plans.sqltext import DRIFT, MOTIONS, POSES, SCANS, WORLD, r
 from poseweave.session import pin, scratch_path
 from poseweave.sources import carmen, textfiles
+from poseweave.sources.named import write_dataset, write_snapshot
 from poseweave.streaming.odometry import stream_odometry
 from poseweave.streaming.thinning import stream_tracks
 
@@ -52,6 +53,29 @@ def map_round_trip(spark, sf_dir):
     return back.select(F.col("file").alias("run"), "node", "w", "h", shown(F.col("value")).alias("value"))
 
 
+@query("map_files", f"""WITH {WORLD}, {GRIDS}, {NODES}
+SELECT run, CAST(node AS BIGINT) AS node, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, {r('value', 'value')} FROM nodes""")
+def map_files(spark, sf_dir):
+    """The snapshot of every run as files with their own names, read back."""
+    _, trajectory, grid, nodes = initial_map(spark, sf_dir)
+    folder = scratch_path(spark, "snapshots")
+    write_snapshot(nodes, grid, trajectory, folder, 1, run="run")
+    back, _ = textfiles.parse_map(textfiles.read_lines(spark, f"{folder}/*/map_000001.txt"))
+    return back.select(F.regexp_extract("file", r"([^/]+)/map_", 1).cast("bigint").alias("run"), "node", "w", "h", shown(F.col("value")).alias("value"))
+
+
+@query("dataset_files", f"WITH {WORLD} SELECT run, frame, row_number() OVER (PARTITION BY run, frame ORDER BY idx) - 1 AS idx, "
+       f"{r('sx', 'sx')}, {r('sy', 'sy')} FROM world")
+def dataset_files(spark, sf_dir):
+    """The data set of every run as scan files with their own names, read back."""
+    folder = scratch_path(spark, "dataset")
+    write_dataset(T.frame_scans(spark, sf_dir), pin(T.poses(spark, sf_dir), "poses"), folder, run="run")
+    points = textfiles.parse_pcd(textfiles.read_lines(spark, f"{folder}/*/*.pcd"))
+    part = r"([^/]+)/scan(\d+)\.pcd$"
+    return points.select(*(F.regexp_extract("file", part, k).cast("bigint").alias(c) for k, c in ((1, "run"), (2, "frame"))), "idx",
+                         shown(F.col("sx")).alias("sx"), shown(F.col("sy")).alias("sy"))
+
+
 @query("metrics_documents", f"""WITH {DRIFT}
 SELECT a.run, count(*) > 60 AS converged, count(*) AS iterations,
        {r('avg(sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)))', 'mean_translation_error')}
