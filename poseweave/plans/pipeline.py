@@ -17,7 +17,7 @@ from poseweave.operators.stability import summarise_ensemble
 from poseweave.operators.trajectory import append_frames, odometry, trajectory_errors
 from poseweave.plans.solve import SolverOptions, solve
 from poseweave.session import pin
-from poseweave.sources.config import MapOptions, RunConfig, jittered
+from poseweave.sources.config import MapOptions, RunConfig
 from poseweave.sources.named import write_snapshot
 from poseweave.sources.textfiles import (load_dataset, metrics_json, parse_poses, parse_relations, read_lines, render_csv,
                                          render_map, write_lines)
@@ -65,7 +65,7 @@ def effective_solver(options: SolverOptions) -> SolverOptions:
 
 
 def run_batch(points: DataFrame, poses: DataFrame, config: RunConfig, relations: DataFrame | None = None,
-              initial: DataFrame | None = None) -> Result:
+              initial: DataFrame | None = None, damping_factors: DataFrame | None = None) -> Result:
     """Refine all frames at once; measured motions always come from ``poses``, the start may not."""
     points, poses = pin(points, "points"), pin(poses.select(*POSE_COLUMNS), "poses")
     grids = pin(make_grids(points, poses, config.map), "grids")
@@ -76,22 +76,23 @@ def run_batch(points: DataFrame, poses: DataFrame, config: RunConfig, relations:
     options = effective_solver(config.solver)
     problem = build_problem(points, nodes, start, odometry(poses, RUN), grids, config.problem, relations,
                             frozen=options.backend == "ceres", surface=surface)
-    nodes, start, control = solve(problem, nodes, start, options)
+    nodes, start, control = solve(problem, nodes, start, options, damping_factors)
     return Result(nodes, start, control, grids)
 
 
 def refine_prefix(points: DataFrame, nodes: DataFrame, poses: DataFrame, motions: DataFrame, grids: DataFrame,
-                  config: RunConfig, relations: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  config: RunConfig, relations: DataFrame | None,
+                  damping_factors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One increment: rebuild the problem over all frames so far and refine it."""
     options = effective_solver(replace(config.solver, max_iterations=config.iterations_per_increment))
     problem = build_problem(points, nodes, poses, motions, grids, config.problem, relations,
                             frozen=options.backend == "ceres")
-    return solve(problem, nodes, poses, options)
+    return solve(problem, nodes, poses, options, damping_factors)
 
 
 def add_totals(total: DataFrame | None, step: DataFrame) -> DataFrame:
-    """Accumulate solver reports: iterations add up, histories concatenate, the last flags stay."""
-    step = step.select("run", "converged", "iterations", "initial_cost", "final_cost", "cost_history")
+    """Accumulate solver reports: iterations and seconds add up, histories concatenate, the last flags stay."""
+    step = step.select("run", "converged", "iterations", "initial_cost", "final_cost", "cost_history", "duration_seconds")
     if total is None:
         return pin(step, "total")
     older = total.toDF("run", *[f"o_{c}" for c in total.columns[1:]])
@@ -102,11 +103,12 @@ def add_totals(total: DataFrame | None, step: DataFrame) -> DataFrame:
         F.coalesce("o_initial_cost", "initial_cost").alias("initial_cost"),
         F.coalesce("final_cost", "o_final_cost").alias("final_cost"),
         F.concat(F.coalesce("o_cost_history", F.array().cast("array<double>")),
-                 F.coalesce("cost_history", F.array().cast("array<double>"))).alias("cost_history")), "total")
+                 F.coalesce("cost_history", F.array().cast("array<double>"))).alias("cost_history"),
+        (F.coalesce("duration_seconds", F.lit(0.0)) + F.coalesce("o_duration_seconds", F.lit(0.0))).alias("duration_seconds")), "total")
 
 
 def run_incremental(points: DataFrame, poses: DataFrame, config: RunConfig, relations: DataFrame | None = None,
-                    on_snapshot=None) -> Result:
+                    on_snapshot=None, damping_factors: DataFrame | None = None) -> Result:
     """Append frames in increments on the last optimised pose and refine everything so far.
 
     All runs advance together; a run that has ended keeps its result.  ``on_snapshot(frames, nodes,
@@ -127,7 +129,7 @@ def run_incremental(points: DataFrame, poses: DataFrame, config: RunConfig, rela
         live_nodes = nodes.join(open_runs, "run", "left_semi")
         part_nodes, part_poses, report = refine_prefix(
             points.where(F.col("frame") < until).join(open_runs, "run", "left_semi"), live_nodes, grown,
-            motions.where(F.col("j") < until).join(open_runs, "run", "left_semi"), grids, config, relations)
+            motions.where(F.col("j") < until).join(open_runs, "run", "left_semi"), grids, config, relations, damping_factors)
         nodes = pin(part_nodes.unionByName(nodes.join(open_runs, "run", "left_anti")), "nodes")
         estimate = pin(part_poses.unionByName(estimate.join(open_runs, "run", "left_anti").select(*part_poses.columns)), "poses")
         total = add_totals(total, report)
@@ -151,6 +153,9 @@ def write_outputs(result: Result, points: DataFrame, odometry_poses: DataFrame,
     rows = number_rows(world.select("run", "frame", "idx", significant("gx").alias("x"), significant("gy").alias("y")),
                        RUN, ["frame", "idx"], "at")
     write_lines(render_csv(rows, "run", "at", ["x", "y"]), f"{folder}/text/scan_points_global")
+    if truth is not None:
+        truth.write.mode("overwrite").parquet(f"{folder}/poses_ground_truth")
+        write_lines(render_csv(truth, "run", "frame", columns), f"{folder}/text/poses_ground_truth")
     errors = trajectory_errors(result.poses, truth, RUN) if truth is not None else None
     metrics_json(result.control, errors, RUN).write.mode("overwrite").partitionBy("run").text(f"{folder}/text/metrics")
     return outside_share(world, result.grids, RUN)
@@ -162,6 +167,11 @@ def significant(column: str, digits: int = 9) -> Column:
     return F.when(F.col(column) == 0, 0.0).otherwise(F.rint(F.col(column) * unit) / unit)
 
 
+def run_summary(result: Result, folder: str) -> DataFrame:
+    """What a run reports when it ends: one row each."""
+    return result.control.select("run", "iterations", "initial_cost", "final_cost", "duration_seconds", F.lit(folder).alias("outputs"))
+
+
 def run_config(spark: SparkSession, config: RunConfig) -> Result:
     """Load a dataset folder, estimate, and write the outputs the configuration asks for."""
     zero = F.lit(0).cast("bigint").alias("run")
@@ -195,17 +205,27 @@ def stability_ensemble(points: DataFrame, poses: DataFrame, config: RunConfig, r
                        initial: DataFrame | None = None) -> DataFrame:
     """Repeat a configuration with tiny damping changes and summarise the revisit medians per run.
 
-    Every member runs the whole configuration, its relations and starting poses included.  A member without revisits
-    scores infinity.
+    The members of all runs are runs of their own, solved side by side: the number of jobs does not grow with them.  Every member has
+    the whole configuration, its relations and starting poses included.  A member without revisits scores infinity.
     """
-    scores = None
-    for member in range(runs):
-        changed = jittered(config, f"{config.output_dir}/run_{member}", member * jitter)
-        result = (run_batch(points, poses, changed, relations, initial) if config.mode == "batch"
-                  else run_incremental(points, poses, changed, relations))
-        score = revisit_score(place(points, result.poses), result.poses, min_gap, radius)
-        row = poses.select("run").distinct().join(score, "run", "left").select(
-            "run", F.lit(member).alias("member"), F.coalesce("median", F.lit(float("inf"))).alias("median"))
-        scores = row if scores is None else scores.unionByName(row)
-        scores = pin(scores, "scores")
-    return summarise_ensemble(scores, RUN, "median", factor)
+    return summarise_ensemble(pin(ensemble_scores(points, poses, config, runs, jitter, min_gap, radius, relations, initial), "scores"),
+                              RUN, "median", factor)
+
+
+def ensemble_scores(points: DataFrame, poses: DataFrame, config: RunConfig, members: int, jitter: float, min_gap: int, radius: float,
+                    relations: DataFrame | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """``(run, member, median)``: the revisit median of every member, whose first damping is multiplied by 1 + member * jitter."""
+    def spread(df: DataFrame | None) -> DataFrame | None:
+        if df is None:
+            return None
+        every = df.withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+        return every.withColumn("run", F.col("run") * members + F.col("_member")).drop("_member")
+
+    member = F.pmod(F.col("run"), F.lit(members))
+    many = pin(spread(poses), "members")
+    factors = many.select("run").distinct().withColumn("factor", 1 + member * F.lit(float(jitter)))
+    result = (run_batch(spread(points), many, config, spread(relations), spread(initial), factors) if config.mode == "batch"
+              else run_incremental(spread(points), many, config, spread(relations), damping_factors=factors))
+    score = revisit_score(place(spread(points), result.poses), result.poses, min_gap, radius)
+    return many.select("run").distinct().join(score, "run", "left").select(
+        F.floor(F.col("run") / members).alias("run"), member.cast("int").alias("member"), F.coalesce("median", F.lit(float("inf"))).alias("median"))

@@ -17,7 +17,7 @@ from poseweave.session import names_in, pin, remove, scratch_path
 from poseweave.sources.config import RunConfig
 
 POINTS = "run bigint, frame bigint, idx bigint, sx double, sy double"
-TOTAL = ("run bigint, converged boolean, iterations int, initial_cost double, final_cost double, cost_history array<double>")
+TOTAL = ("run bigint, converged boolean, iterations int, initial_cost double, final_cost double, cost_history array<double>, duration_seconds double")
 PARTS = ("nodes", "poses", "total")
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from poseweave.operators.residuals import Hallucination, Normals, ProblemOptions
 from poseweave.operators.trajectory import odometry
-from poseweave.plans.pipeline import make_grids, run_config, run_incremental
+from poseweave.operators.relations import revisit_score
+from poseweave.plans.pipeline import ensemble_scores, make_grids, place, run_batch, run_config, run_incremental, run_summary
 from poseweave.plans.solve import SolverOptions
-from poseweave.sources.config import MapOptions, RunConfig
+from poseweave.sources.config import MapOptions, RunConfig, jittered
+from poseweave.sources.textfiles import metrics_json
 from poseweave.streaming.incremental import stream_incremental
 from poseweave.streaming.odometry import stream_odometry
 from tests.test_relations import SCAN, l_scan
@@ -85,6 +87,26 @@ def test_configured_batch_run_writes_outputs(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "out/text/map/file=0").glob("*.txt"))).splitlines()
     assert text[0].split()[:2] == ["9", "9"] and len(text) == 10
     assert spark.read.parquet(str(tmp_path / "out/poses_estimated")).count() == 3
+    assert [r.y for r in spark.read.parquet(str(tmp_path / "out/poses_ground_truth")).orderBy("frame").collect()] == [t[1] for t in TRUTH]
+    assert document["duration_seconds"] == report.duration_seconds > 0
+    summary = run_summary(result, "here").collect()
+    assert [(r.iterations, r.final_cost, r.duration_seconds, r.outputs) for r in summary] == [(1, report.final_cost, report.duration_seconds, "here")]
+    # A run without ground truth keeps its report.
+    other = result.control.withColumn("run", F.lit(7).cast("bigint"))
+    errors = spark.createDataFrame([(0, 0.5, 3)], "run bigint, mean_translation_error double, frames bigint")
+    told = {r.run: json.loads(r.json) for r in metrics_json(result.control.unionByName(other), errors, ["run"]).collect()}
+    assert told[0]["mean_translation_error"] == 0.5 and "mean_translation_error" not in told[7] and told[7]["iterations"] == 1
+
+
+def test_ensemble_members_side_by_side(spark):
+    """Two members at once equal two configurations run one by one."""
+    points, poses = scene(spark)
+    config = RunConfig(**{**settings().__dict__, "mode": "batch"})
+    got = {r.member: r.median for r in ensemble_scores(points, poses, config, 2, 3.0, 1, 5.0).collect()}
+    for member in (0, 1):
+        alone = run_batch(points, poses, jittered(config, "", 3.0 * member))
+        assert got[member] == pytest.approx(revisit_score(place(points, alone.poses), alone.poses, 1, 5.0).first().median, abs=1e-12)
+    assert got[0] != got[1]
 
 
 EVENTS = "run bigint, ts bigint, scan bigint, dx double, dy double, dtheta double"
