@@ -22,7 +22,8 @@ EVERY = 20
 SHARD_ROWS = 8192
 LEAF = 256
 BLOCK_QUERIES = 1024
-SLACK = 1e-9
+#: Rounding of a squared distance, and of what is pruned by it, as a share of the squared norms it is made from, for each component.
+ROUNDING = 4e-15
 
 
 class Tree:
@@ -67,6 +68,12 @@ class Tree:
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         self.seen = 0
         square = np.einsum("ij,ij->i", queries, queries)
+        norms = np.einsum("ij,ij->i", self.points, self.points)
+        loose = ROUNDING * (queries.shape[1] + 16) * (square + norms.max(initial=0.0))
+
+        def limit(rows: np.ndarray) -> np.ndarray:
+            """The largest computed distance that may belong to one of the k nearest."""
+            return np.sqrt(best[rows, -1] ** 2 + loose[rows])
 
         def visit(node: int, active: np.ndarray) -> None:
             if not len(active):
@@ -76,8 +83,8 @@ class Tree:
                 start, stop = entry
                 rows = self.points[start:stop]
                 self.seen += len(active) * (stop - start)
-                gap = np.sqrt(np.maximum(0, square[active, None] + np.einsum("ij,ij->i", rows, rows) - 2 * queries[active] @ rows.T))
-                keep = gap <= best[active, -1:] + SLACK
+                gap = np.sqrt(np.maximum(0, square[active, None] + norms[start:stop] - 2 * queries[active] @ rows.T))
+                keep = gap <= limit(active)[:, None]
                 both = np.concatenate([best[active], gap], axis=1)
                 best[active] = np.sort(np.partition(both, k - 1, axis=1)[:, :k], axis=1)
                 for i in np.flatnonzero(keep.any(axis=1)):
@@ -90,14 +97,14 @@ class Tree:
             first_inner = bounds[0] <= bounds[1]
             for child, mask in ((inner, first_inner), (outer, ~first_inner), (outer, first_inner), (inner, ~first_inner)):
                 low = bounds[0] if child == inner else bounds[1]
-                near = mask & (low * factor <= best[active, -1] + SLACK)
+                near = mask & (low * factor <= limit(active))
                 visit(child, active[near])
 
         visit(self.root, np.arange(n))
-        out = []
+        out, last = [], limit(np.arange(n))
         for i in range(n):
             rows, gaps = (np.concatenate(c) for c in zip(*found[i], strict=True)) if found[i] else (np.zeros(0, np.int64), np.zeros(0))
-            out.append(self.order[rows[gaps <= best[i, -1] + SLACK]])
+            out.append(self.order[rows[gaps <= last[i]]])
         return out
 
 
