@@ -23,11 +23,6 @@ def symmetric_eigen(xx: Column, xy: Column, yy: Column) -> SymmetricEigen:
     return SymmetricEigen(mid - spread, mid + spread, -F.sin(phi), F.cos(phi))
 
 
-def scatter(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, syy: Column):
-    """Centred second moments (not divided by n) from raw sums."""
-    return sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
-
-
 def clamp(value: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

@@ -299,5 +299,3 @@ FROM blank b LEFT JOIN owner2 o ON o.run = b.run AND o.node = b.node""")
 
 for _method in _NODE:
     _register_node_normals(_method)
-
-__all__ = ["grid_columns", "node_position"]

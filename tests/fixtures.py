@@ -2,8 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
-
 
 def corner(spark, init=(5.4, 4.7, 0.05), truth=(5.0, 5.0, -0.1), nodes=40):
     """Two walls x=0 and y=0 seen from two poses; the second pose starts off by some decimetres."""
@@ -30,6 +28,3 @@ def corner(spark, init=(5.4, 4.7, 0.05), truth=(5.0, 5.0, -0.1), nodes=40):
 
 def line(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
-
-
-__all__ = ["F"]

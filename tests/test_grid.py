@@ -1,5 +1,3 @@
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +85,3 @@ def test_out_of_domain_share(spark):
     points = spark.createDataFrame([(0, 1.0, 1.0), (0, 3.0, 1.0)], "run bigint, gx double, gy double")
     row = G.outside_share(points, g, ["run"]).first()
     assert (row.outside, row.total, row.percent) == (1, 2, 50.0)
-
-
-__all__ = ["math"]
