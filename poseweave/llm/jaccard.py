@@ -6,8 +6,8 @@ indexed alone; frequent ones are dealt to ``g`` classes by their hash, and pairs
 tokens put two into one class.  So an index entry is rare or a pair, and the number of entries stays linear in the prefix.
 
 Within an index entry the sets are compared with its first set; only entries whose sets are not all linked then are
-looked at pairwise, in blocks, under a bound of the symmetric difference read off parity bitmaps.  Every pair that passes and is not
-linked already is verified on the sets themselves.
+looked at pairwise, in blocks, under a bound of the symmetric difference read off parity bitmaps of 1,024 bits, which leave few pairs
+that are not alike enough.  Every pair that passes and is not linked already is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ RARE_SETS = 32
 BLOCK_SETS = 512
 BITMAP = 256
 LANES = ["b0", "b1", "b2", "b3"]
+#: Bits of the bitmaps that sets of a mixed entry are compared by, and of the smallest ones kept.
+WIDE_BITMAP = 1024
+WIDE_LANES = [f"w{k}" for k in range(WIDE_BITMAP // 64)]
+#: Texts described in one record batch.
+BATCH_TEXTS = 512
 
 
 def token_sets(texts: Iterable, size: int) -> Iterator[np.ndarray]:
@@ -53,7 +58,15 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap_size(n: int) -> int:
-    return max(BITMAP, 1 << max(0, n // 2 - 1).bit_length())
+    """Two to four bits a token: pairs a little below the wanted likeness are seen to be so."""
+    return max(WIDE_BITMAP, 1 << max(0, 2 * n - 1).bit_length())
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of bounded numbers of rows, so that what is made of one part stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_TEXTS):
+            yield batch.slice(start, BATCH_TEXTS)
 
 
 def parity(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -101,13 +114,13 @@ def prefix_length(n: int, percent: int, extra: int) -> int:
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``(doc_id, row, n, d1, d2, b0…b3, bits, prefix)`` of every row, pinned; ``row`` is unique, equal sets have equal digests.
 
-    ``b0…b3`` is a parity bitmap of 256 bits, ``bits`` one of at least half as many bits as the set has tokens.
+    ``b0…b3`` is a parity bitmap of 256 bits, ``bits`` one of 1,024 or of at least twice as many bits as the set has tokens.
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = heavy.value
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, lanes, bits, prefixes = [], [], [], [], []
             for tokens in token_sets(batch.column("text"), size):
                 n.append(len(tokens))
@@ -163,16 +176,26 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
     return pin(entries.join(held, "entry").join(sets.select("row", "n", *LANES), "row"), "index-entries")
 
 
-def likely(percent: int, a: str, b: str) -> Column:
+def likely(percent: int, a: str, b: str, lanes: list[str] = LANES) -> Column:
     """Whether sizes and parity bitmaps leave room for the wanted likeness."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     fits = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     # |x & y| >= t / (1 + t) * (|x| + |y|) bounds the symmetric difference, which no parity bitmap exceeds.
-    return fits & ((100 + percent) * differing(a, b) <= (100 - percent) * (na + nb))
+    return fits & ((100 + percent) * differing(a, b, lanes) <= (100 - percent) * (na + nb))
+
 
+def differing(a: str, b: str, lanes: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in lanes), F.lit(0))
 
-def differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in LANES), F.lit(0))
+
+def wide_lanes(sets: DataFrame) -> DataFrame:
+    """``(row, w0…w15)``: every set's bitmap, folded to 1,024 bits."""
+    def lane(k: int) -> Column:
+        own = F.filter("bits", lambda _, i: i % len(WIDE_LANES) == k)
+        return F.when(F.size("bits") == len(WIDE_LANES), F.get("bits", F.lit(k))).otherwise(
+            F.aggregate(own, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseXOR(x)))
+
+    return sets.select("row", *[lane(k).alias(name) for k, name in enumerate(WIDE_LANES)])
 
 
 def roomy(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +223,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``(row, tokens)`` of the wanted ``(row, doc_id, d1, d2)``: only their texts are hashed again.  Pinned."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(token_sets(batch.column("text"), size))
             want = zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True)
             # Rows of one id may have other texts.
@@ -244,13 +267,14 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     mixed = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
     mixed = mixed.where("low < high and sets > 2").select("entry", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("parts"))
     placed = placed.join(mixed, "entry").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    placed = placed.join(wide_lanes(reps), "row")
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
     a, b = dealt.where("part = i").alias("a"), dealt.where("part = j").alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("entry", "i", "j")]
     order = (F.col("a.part") < F.col("b.part")) | (F.col("a.row") < F.col("b.row"))
-    cross = a.join(b, [*same, F.col("a.component") != F.col("b.component"), order, likely(percent, "a", "b")]).select(
-        F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b"), differing("a", "b").alias("apart"))
+    cross = a.join(b, [*same, F.col("a.component") != F.col("b.component"), order, likely(percent, "a", "b"), likely(percent, "a", "b", WIDE_LANES)]).select(
+        F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b"), differing("a", "b", WIDE_LANES).alias("apart"))
     cross = pin(roomy(cross.distinct().join(stars, ["a", "b"], "left_anti"), reps, percent), "cross-pairs")
     texts = paired_sets(docs, cross, reps, size)
     # The nearest set of each other class first: most classes join by it, and pairs within a class need no look.
