@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _pinned: list[str] = []
+_bucketed: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "poseweave") -> SparkSession:
@@ -59,8 +60,24 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pin_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Like :func:`pin`, in as many buckets of ``keys`` as a shuffle has partitions.
+
+    Joins on the keys, and on more columns with a side dealt by ``keys`` alike, read the table without shuffling it again.
+    """
+    spark = df.sparkSession
+    path, count = scratch_path(spark, label), bucket_count(spark)
+    _bucketed[path] = f"pinned_{uuid.uuid4().hex}"
+    df.repartition(count, *keys).write.format("parquet").bucketBy(count, *keys).sortBy(*keys).option("path", path).saveAsTable(_bucketed[path])
+    return spark.table(_bucketed[path])
+
+
 def pinned_paths() -> list[str]:
-    """Folders written by ``pin`` or handed out by ``scratch_path`` and not yet removed, oldest first."""
+    """Folders written by ``pin`` or ``pin_bucketed`` or handed out by ``scratch_path`` and not yet removed, oldest first."""
     return list(_pinned)
 
 
@@ -83,6 +100,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Remove pinned tables, all by default.  Call it when the frames read from them have been consumed."""
     for path in list(_pinned if paths is None else paths):
+        if path in _bucketed:
+            spark.sql(f"DROP TABLE IF EXISTS {_bucketed.pop(path)}")
         remove(spark, path)
         if path in _pinned:
             _pinned.remove(path)
