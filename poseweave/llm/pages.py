@@ -27,13 +27,19 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 ASIDE = set("""aside button canvas datalist dialog embed footer form head iframe map menu nav noembed noframes noscript object
  optgroup option script select style svg template textarea title video audio""".split())
 CLOSED_BY_BLOCK = {"p"}
-#: Words in class, id or role that mark a part as no article text.
-LABELS = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|nav\w*|menu\w*|breadcrumbs?|header|masthead|"
-                    r"footer|sidebar|side|widget\w*|comments?|respond|disqus|replies|share|sharing|social|related|recommend\w*|subscribe|newsletter|"
-                    r"signup|login|popup|modal|toolbar|pagination|pager|tags|contentinfo|complementary|navigation|search|skip\w*)(?:$|[\s_-])", re.I)
+#: Words in class, id or role that mark a part as no article text, and words that may stand beside them in a hyphenated name.
+LABEL = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|nav\w*|menu\w*|breadcrumbs?|header|masthead|"
+                   r"footer|sidebar|side|widget\w*|comments?|respond|disqus|replies|share|sharing|social|related|recommend\w*|subscribe|newsletter|"
+                   r"signup|login|popup|modal|toolbar|pagination|pager|tags|contentinfo|complementary|navigation|search|skip\w*)", re.I)
+BESIDE = set("""site page main top bottom left right upper lower primary secondary global local mobile sticky fixed user reader post article
+ content body box bar block list section region area container wrapper wrap inner outer holder panel row column col slot unit item items link links
+ posts articles stories form input button buttons icon icons title text group card cards tray rail strip zone module component message js""".split())
 MAIN = re.compile(r"(?:^|\s)(?:main|article)(?:$|\s)", re.I)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# A quote counts only where an attribute's value starts; a value whose quote is never closed ends like one without quotes.
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>]*)"""
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*{VALUE})*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"([^\s/=][^\s/=]*)(?:\s*=\s*({VALUE}))?")
+TELLING = re.compile(r"class|id|role|hidden|itemprop", re.I)
 
 ARTICLE, PLAIN, OUT = 2, 1, 0
 #: A neighbour is a copy if both pages share this part of their lines, and no more than the rest of the page's text would stay.
@@ -90,12 +96,22 @@ def text_blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
+def _marks(label: str) -> bool:
+    """Whether a name says that its part is no article text: by its label words alone or beside words of layout, so not ``side-by-side``."""
+    words = [w for w in re.split(r"[-_]+", label.lower()) if w]
+    marked = [bool(LABEL.fullmatch(w)) for w in words]
+    return any(marked) and all(m or w in BESIDE or w.isdigit() for m, w in zip(marked, words, strict=True))
+
+
 def _zone(name: str, attributes: str, outer: int) -> int:
     if outer == OUT or name in ASIDE or (name == "header" and outer != ARTICLE):
         return OUT
-    said = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+    said: dict[str, str] = {}
+    if TELLING.search(attributes):
+        for key, value in ATTRIBUTE.findall(attributes):
+            said.setdefault(key.lower(), entities.unescape(value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value))
     label = " ".join(said.get(k, "") for k in ("class", "id", "role"))
-    if "hidden" in said or (label.strip() and name not in ("html", "body", "article", "main") and LABELS.search(label)):
+    if "hidden" in said or (name not in ("html", "body", "article", "main") and any(map(_marks, label.split()))):
         return OUT
     if name in ("article", "main") or MAIN.search(said.get("role", "")) or "articlebody" in said.get("itemprop", "").lower():
         return ARTICLE

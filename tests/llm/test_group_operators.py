@@ -341,3 +341,19 @@ def test_copies_of_a_page_keep_its_text(spark):
     text = "\n".join(f"Line {k} of the first story" for k in range(30))
     assert all(got[k] == text for k in range(4)) and got[4] == "Second story"
     assert got[5].endswith(f"{text}\ntoday") and got[6].endswith(f"{text}\nyesterday") and got[7].endswith(text) and got[8].endswith(text)
+
+
+def test_markup_is_read_as_browsers_do():
+    def blocks(page: str) -> list[str]:
+        found = pages.text_blocks(page)
+        top = max((zone for _, zone in found), default=pages.PLAIN)
+        return [text for text, zone in found if zone == top]
+
+    named = ("<article><p>a<div class='side-by-side'>b</div><blockquote class=related-work>c</blockquote><div id='notice-of-appeal'>d</div>"
+             "<section class='search-results-explained'>e</section><div class='wide site-nav'>f</div><div class=ad_slot-3>g</div><div class='cookie-banner'>h</div>")
+    assert blocks(named) == ["a", "b", "c", "d", "e"]
+    assert blocks("<p>a <a href=/it's>link</a> b") == ["a link b"]
+    assert blocks('<p>a <a href="x>y">link</a> <i title="a hidden nav, class=ad">b</i>') == ["a link b"]
+    assert blocks('<p>a<a href="open>b</a> c') == ["ab c"]
+    assert blocks("<div a=b\"x>a</div><div hidden>b</div><p>1 < 2") == ["a", "1 < 2"]
+    assert blocks("<p " + "a=\"" * 50_000) == [] and blocks("<p " + "a='b' " * 50_000 + ">c") == ["c"]
