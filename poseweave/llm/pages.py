@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poseweave.llm.common import ordered
+from poseweave.session import pin
 
 # Fixed values of HTML: elements that start a new block, have no content, hold raw text, or are no part of the text.
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2
@@ -165,31 +166,44 @@ def page_lines(pages: DataFrame) -> DataFrame:
                              "path": F.regexp_extract(plain, r"^(?:[a-zA-Z][\w+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)})
 
 
-def nearest_lines(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, html_hash, other)``: the lines of each page's nearest page on its host, by URL path; empty without one.
+def shared_places(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, html_hash, shared, most)``: places of each page's lines that the nearest page on its host, by URL path, has
+    as well, and how many lines the longer of both has.  Pages without a nearest page are left out.
 
+    Pages are ordered and paired without their lines, which are read again for the pairs alone: once for each of equal pages.
     Numbers over the whole order stand in for pages, so a host with a third of all pages is spread like the others.
     """
-    rows = ordered(page_lines(pages), ["host", "path", "url", "page_id", "html_hash"], "page-order")
-    rows = rows.withColumnRenamed("_row", "at").withColumn("copy", F.xxhash64("lines"))
+    lines = page_lines(pages).withColumns({"copy": F.xxhash64("lines"), "row": F.monotonically_increasing_id()})
+    lines = pin(lines, "page-lines")
+    rows = ordered(lines.drop("lines"), ["host", "path", "url", "page_id", "html_hash"], "page-order").withColumnRenamed("_row", "at")
     # Copies stand in the order once, where the first of them is, so that none is the other's neighbour.
-    firsts = ordered(rows.groupBy("host", "copy").agg(F.min("at").alias("at")), ["at"], "copy-order")
-    firsts = firsts.select("at", "_row").join(rows.select("at", "host", "copy", "path", "lines"), "at")
+    firsts = rows.groupBy("host", "copy").agg(F.min(F.struct("at", "row", "path")).alias("first")).select("host", "copy", "first.*")
+    firsts = ordered(firsts, ["at"], "copy-order")
 
     def shared(a: str, b: str):
         same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
                            lambda s, eq: F.struct((s["n"] + F.when(s["on"] & eq, 1).otherwise(0)).alias("n"), (s["on"] & eq).alias("on")))
         return same["n"]
 
-    # Each page offers its lines to the pages before and after it.
+    # Each page offers itself to the pages before and after it.
     offers = firsts.select(F.explode(F.array(F.col("_row") - 1, F.col("_row") + 1)).alias("to"), F.col("host").alias("h"), F.col("path").alias("p"),
-                           F.col("lines").alias("other"), (F.col("_row")).alias("from_row"))
-    met = firsts.drop("lines").join(offers, (F.col("_row") == F.col("to")) & (F.col("host") == F.col("h")))
-    rank = F.struct(-shared("path", "p"), "from_row")
-    nearest = met.groupBy("host", "copy").agg(F.min_by("other", rank).alias("other"))
+                           F.col("row").alias("near"), (F.col("_row")).alias("from_row"))
+    met = firsts.join(offers, (F.col("_row") == F.col("to")) & (F.col("host") == F.col("h")))
+    nearest = met.groupBy("host", "copy", "row").agg(F.min_by("near", F.struct(-shared("path", "p"), "from_row")).alias("near"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (batch.column(c).to_pylist() for c in ("own", "other"))
+            places = pa.array([common_lines(a, b) for a, b in zip(own, other, strict=True)], pa.list_(pa.int32()))
+            most = pa.array([max(len(a), len(b)) for a, b in zip(own, other, strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("copy"), places, most], ["host", "copy", "shared", "most"])
+
+    own, other = (lines.select(F.col("row").alias(k), F.col("lines").alias(name)) for k, name in (("row", "own"), ("near", "other")))
+    aligned = nearest.join(own, "row").join(other, "near").select("host", "copy", "own", "other")
+    aligned = pin(aligned.mapInArrow(align, "host string, copy long, shared array<int>, most int"), "shared-lines")
     # Equal rows (id, URL and text) are one page.
-    return rows.select("page_id", "url", "html_hash", "host", "copy").distinct().join(nearest, ["host", "copy"]).select(
-        "page_id", "url", "html_hash", "other")
+    return rows.select("page_id", "url", "html_hash", "host", "copy").distinct().join(aligned, ["host", "copy"]).select(
+        "page_id", "url", "html_hash", "shared", "most")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -203,39 +217,38 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, texts, places, article = [], [], [], []
+            texts, places, article = [], [], []
             for page in batch.column("html").to_pylist():
                 found = text_blocks(page or "")
                 top = ARTICLE if any(z == ARTICLE for _, z in found) else PLAIN
-                own.append([line_hash(t) for t, _ in found])
                 places.append([k for k, (_, z) in enumerate(found) if z == top])
                 texts.append([found[k][0] for k in places[-1]])
                 article.append(top == ARTICLE)
                 if article[-1]:  # all of it stays: one text
                     texts[-1], places[-1] = ["\n".join(texts[-1])], [0]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "html_hash")), pa.array(own, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(places, pa.list_(pa.int32())), pa.array(article, pa.bool_())], ["page_id", "url", "html_hash", "own", "texts", "places", "article"])
+                [*(batch.column(c) for c in ("page_id", "url", "html_hash")), pa.array(texts, pa.list_(pa.string())),
+                 pa.array(places, pa.list_(pa.int32())), pa.array(article, pa.bool_())], ["page_id", "url", "html_hash", "texts", "places", "article"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined, n_shared = [], []
-            for own, other, texts, places, article in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "texts", "places", "article")), strict=True):
-                shared = set(common_lines(own, other)) if other else set()
+            for shared, most, texts, places, article in zip(*(batch.column(c).to_pylist() for c in ("shared", "most", "texts", "places", "article")), strict=True):
+                shared = set(shared or [])
                 kept = [t for k, t in zip(places, texts, strict=True) if article or k not in shared]
                 # Nearly the same page says nothing about the site: no line goes for it.
-                if len(shared) >= COPY_SHARE * max(len(own), len(other or [])) and sum(map(len, kept)) <= (1 - COPY_SHARE) * sum(map(len, texts)):
+                if most and len(shared) >= COPY_SHARE * most and sum(map(len, kept)) <= (1 - COPY_SHARE) * sum(map(len, texts)):
                     kept = texts
                 joined.append("\n".join(kept))
                 n_shared.append(len(shared))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(joined, pa.string()), pa.array(n_shared, pa.int64())],
                                              ["page_id", "url", "text", "n_shared"])
 
-    near = nearest_lines(pages)
-    # Only text that may stay travels, not the markup.
+    near = shared_places(pages)
+    # Only text that may stay and places of lines travel, not the markup.
     parsed = pages.select("page_id", "url", "html", F.xxhash64("html").alias("html_hash")).mapInArrow(
-        parse, "page_id long, url string, html_hash long, own array<long>, texts array<string>, places array<int>, article boolean")
+        parse, "page_id long, url string, html_hash long, texts array<string>, places array<int>, article boolean")
     rows = parsed.alias("p").join(near.alias("n"), (
         F.col("p.page_id").eqNullSafe(F.col("n.page_id")) & F.col("p.url").eqNullSafe(F.col("n.url")) & (F.col("p.html_hash") == F.col("n.html_hash"))), "left")
-    out = rows.select("p.page_id", "p.url", "own", "other", "texts", "places", "article").mapInArrow(cut, "page_id long, url string, text string, n_shared long")
+    out = rows.select("p.page_id", "p.url", "shared", "most", "texts", "places", "article").mapInArrow(cut, "page_id long, url string, text string, n_shared long")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")
