@@ -244,9 +244,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``; all columns stay as they are."""
+    """The rows of ``docs`` whose text scores below ``threshold``; all columns stay as they are, whatever their names."""
+    own = "_score"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
+
     def run(texts: pa.Array) -> dict[str, list]:
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        return {"_score": [model.probability(s) for s in next(_segments(iter([batch]), model, [])).column("surprise").to_pylist()]}
+        return {own: [model.probability(s) for s in next(_segments(iter([batch]), model, [])).column("surprise").to_pylist()]}
 
-    return with_text_columns(docs, run, {"_score": "double"}).where(F.col("_score") < threshold).drop("_score")
+    return with_text_columns(docs, run, {own: "double"}).where(F.col(own) < threshold).drop(own)

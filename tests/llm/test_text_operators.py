@@ -179,6 +179,9 @@ def test_toxicity_learns_and_never_reads_held_out_labels(spark):
     assert all(rows[k].passages for k in range(0, 600, 6)) and not any(rows[k].passages for k in range(1, 600, 6))
     kept = toxicity.clean(docs, models[0])
     assert kept.columns == docs.columns and kept.where("doc_id % 6 = 0").count() == 0 and kept.where("doc_id % 6 > 0").count() == 502
+    named = toxicity.clean(docs.withColumns({"_score": F.lit(7), "_Score_": F.lit(8)}), models[0])
+    assert named.columns == [*docs.columns, "_score", "_Score_"]
+    assert {r.doc_id for r in named.where("`_score` = 7").collect()} == {r.doc_id for r in kept.collect()}
     blank = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), models[0]).count() == 0
