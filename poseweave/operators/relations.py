@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from poseweave.functions.linalg import clamp, symmetric_eigen
 from poseweave.functions.pose import Pose, apply, pose, pose_error, relative
 from poseweave.operators.alignment import align_scans
-from poseweave.operators.neighbors import CellTree, build_tree, nearest
+from poseweave.operators.neighbors import PACKED_POINTS, CellTree, build_tree, nearest
 from poseweave.operators.normals import pca_normals
 from poseweave.operators.ordered import quantiles
 from poseweave.session import pin
@@ -57,8 +57,9 @@ def select_pairs(poses: DataFrame, min_gap: int, radius: float, per_frame: int,
     """
     top = top_level(poses)
     group = ["run", "level", "span"]
+    poses = pin(poses.select("run", "frame", "x", "y"), "pair-poses")
     points = dyadic_home(poses.select("run", F.col("frame").alias("i"), "x", "y"), "i", top)
-    tree = build_tree(points, group, ["i"], copies=per_frame)
+    tree = build_tree(points, group, ["i"], copies=per_frame, stored=True, packed_points=PACKED_POINTS)
     low = F.greatest(F.lit(0), F.col("j") - max_gap) if max_gap is not None else F.lit(0)
     asked = dyadic_cover(poses.select("run", F.col("frame").alias("j"), "x", "y"), low, F.col("j") - min_gap + 1, top)
     found = nearest(asked, ["j"], tree, per_frame, ["i"], ["i"], within=radius)
@@ -171,7 +172,8 @@ def revisit_distances(world: DataFrame, poses: DataFrame, min_gap: int, radius:
     levels = [r["level"] for r in blocks.select("level").distinct().collect()]
     homes = points.withColumn("level", F.explode(F.array(*(F.lit(n) for n in sorted(levels)))) if levels else F.lit(0))
     homes = homes.withColumn("span", F.floor(F.col("frame") / _block_size(F.col("level")))).join(wanted, group, "left_semi")
-    tree = build_tree(homes.select(*group, F.col("frame").alias("i"), "idx", "x", "y"), group, ["i", "idx"], copies=1)
+    tree = build_tree(homes.select(*group, F.col("frame").alias("i"), "idx", "x", "y"), group, ["i", "idx"], copies=1,
+                      packed_points=PACKED_POINTS)
     asking = points.select("run", F.col("frame").alias("j"), F.col("idx").alias("q"), "x", "y").join(blocks, ["run", "j"])
     found = nearest(asking, ["j", "q"], tree, 1, ["i", "idx"], ["i"], block_rows=None)
     return found.groupBy("run", "j", F.col("q").alias("idx")).agg(F.sqrt(F.min("d2")).alias("distance"))
@@ -206,7 +208,7 @@ class Aligner:
                                    F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"))
         self.normals = pin(pca_normals(local, ["run", "frame"], ["run", "frame", "idx"], normal_neighbors, ("ox", "oy")), "icp-normals")
         target = self.normals.select("run", F.col("frame").alias("i"), "idx", "x", "y", "normal_x", "normal_y")
-        self.tree: CellTree = build_tree(target, ["run", "i"], ["idx"], leaf_rows=16, copies=1)
+        self.tree: CellTree = build_tree(target, ["run", "i"], ["idx"], leaf_rows=16, copies=1, packed_points=PACKED_POINTS)
         self.max_correspondence = max_correspondence
 
     def matches(self, state: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from poseweave.operators.neighbors import build_tree, nearest
 from poseweave.operators.normals import scan_normals
+from poseweave.session import pin
 
 
 def frame(spark, groups):
@@ -71,3 +72,53 @@ def test_corner_is_seen(spark):
     rows = scan_normals(world(spark, walls), 10).collect()
     best = max(rows, key=lambda r: r.cornerness)
     assert best.cornerness > 0.1 and abs(best.gx - 5) + abs(best.gy - 5) < 1.0
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_whole_groups_and_cells_side_by_side(spark, clouds, small_batches):
+    rng = np.random.default_rng(9)
+    groups = [clouds[0], *[rng.integers(0, 4, size=(n, 2)).astype(float) for n in (1, 2, 5, 30)]]
+    asked = [rng.uniform(-5, 6, size=(20, 2))] * len(groups)
+    points, queries = frame(spark, groups), frame(spark, asked).withColumnRenamed("idx", "q")
+    tree = build_tree(points, ["run"], ["idx"], copies=3, packed_points=100)
+    assert tree.large.count() == 1 and not tree.whole
+    found = nearest(queries, ["q"], tree, 3, ["idx"], ["idx"]).toPandas().sort_values(["run", "q", "rank"])
+    for g, cloud in enumerate(groups):
+        assert found[found.run == g].groupby("q").n_idx.apply(list).tolist() == brute(cloud, asked[g], 3)
+
+
+def test_whole_groups_over_many_batches(spark, small_batches):
+    rng = np.random.default_rng(2)
+    groups = [rng.integers(0, 4, size=(n, 2)).astype(float) for n in (40, 1, 3, 25)]
+    tree = build_tree(frame(spark, groups), ["run"], ["idx"], copies=4, packed_points=100)
+    found = nearest(tree, ["idx"], tree, 4, ["idx"], ["idx"]).toPandas().sort_values(["run", "idx", "rank"])
+    for g, cloud in enumerate(groups):
+        assert found[found.run == g].groupby("idx").n_idx.apply(list).tolist() == brute(cloud, cloud, 4)
+    near = nearest(tree, ["idx"], tree, 4, ["idx"], ["idx"], within=1.0).toPandas()
+    assert (near.d2 == 0).all() and set(near[near.run == 1].n_idx) == {0}
+
+
+def test_exploded_nodes_are_never_broadcast(spark, capsys):
+    from poseweave.operators import gridmap as G
+
+    points = frame(spark, [[(0.1 * i, 0.2 * i) for i in range(50)]])
+    # A written table has a known size, that of its few rows before they are exploded.
+    grids = spark.createDataFrame([(0, 21, 17, 0.0, 0.0, 1.0, 1.0)],
+                                  "run bigint, nx bigint, ny bigint, min_x double, min_y double, dx double, dy double")
+    grids = pin(grids, "grids")
+    tile = {"_tw": F.floor(F.col("w") / 3), "_th": F.floor(F.col("h") / 3)}
+    tree = build_tree(points, ["run"], ["idx"], copies=1)
+    nearest(G.grid_nodes(grids, ["run"]), ["node"], tree, 1, ["idx"], ["idx"], tile=tile).explain()
+    lines = capsys.readouterr().out.splitlines()
+    # What lies below a broadcast is indented deeper than it; what is dealt out first is measured before it is sent.
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            deep = line.index("BroadcastExchange")
+            stop = next((m for m in range(n + 1, len(lines)) if len(lines[m]) - len(lines[m].lstrip(" :+-")) <= deep), len(lines))
+            assert not any("Generate" in x for x in lines[n + 1: stop]) or any("hashpartitioning" in x for x in lines[n + 1: stop])
