@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from codecs import charmap_decode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 #: Words whose ids a worker keeps.
@@ -40,6 +40,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Known(dict):
+    """Ids of the words met so far, at most ``CACHE_WORDS`` of them; those of others are found anew each time."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.ids(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, ready for checksums and arrays."""
 
@@ -51,7 +65,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.merge = self.library.model.tokenize
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self._merged)
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self._piece, pieces(text or "")))
@@ -59,13 +73,7 @@ class Encoder:
     def _piece(self, text: str) -> bytes:
         if not certain(text):
             return b"".join([self.packed[i] for i in self.library.encode(text, add_special_tokens=False).ids])
-        words = SPLIT.findall(text)
-        found = {w: self._merged(w) for w in set(words).difference(self.known)}
-        if len(self.known) + len(found) <= CACHE_WORDS:
-            self.known.update(found)
-            return b"".join(map(self.known.__getitem__, words))
-        known = self.known.get
-        return b"".join([known(w) or found[w] for w in words])
+        return b"".join(map(self.known.__getitem__, SPLIT.findall(text)))
 
     def _merged(self, word: str) -> bytes:
         packed = self.packed
