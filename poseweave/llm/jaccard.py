@@ -5,7 +5,8 @@ likeness share at least ``g + 1`` tokens among the first ``|x| - ceil(t |x|) + 1
 indexed alone; frequent ones are dealt to ``g`` classes by their hash, and pairs within a class are indexed: ``g + 1`` shared
 tokens put two into one class.  So an index entry is rare or a pair, and the number of entries stays linear in the prefix.
 
-Within an index entry the sets are compared with its first set; only entries whose sets are not all linked then are
+Entries of the same sets count once.  Within an index entry the sets are compared with its first set; in entries of many sets that are
+not all linked then, other sets are drawn, and every set is verified with the nearest one drawn for its entries.  Only what is not linked by that is
 looked at pairwise, in blocks, under a bound of the symmetric difference read off parity bitmaps of 1,024 bits, which leave few pairs
 that are not alike enough.  Every pair that passes and is not linked already is verified on the sets themselves.
 """
@@ -33,6 +34,8 @@ HEAVY_TOKENS, HEAVY_SETS = 65_536, 64
 COUNTED_TEXTS = 2_500
 #: A prefix token in more sets than this is indexed in pairs.
 RARE_SETS = 32
+#: Times sets are drawn from entries of more than ``RARE_SETS`` sets before what is left is compared in pairs.
+DRAWS = 3
 #: Sets of an entry compared in one block.
 BLOCK_SETS = 512
 BITMAP = 256
@@ -145,7 +148,10 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def index_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """``(entry, row, n, b0…b3)``: where each distinct set stands in the index; entries with one set are left out.  Pinned."""
+    """``(entry, row, held, n, b0…b3)``: where each distinct set stands in the index, and the number of sets there.  Pinned.
+
+    Entries with one set are left out; of entries with the same sets, told by their hashes, one is kept.
+    """
     tokens = sets.select("row", "n", F.posexplode("prefix").alias("at", "token"))
     # Written, so that the joins shuffle both sides themselves and the rows of a frequent key can be split.
     shared = pin(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-tokens")
@@ -172,7 +178,9 @@ def index_entries(sets: DataFrame, percent: int) -> DataFrame:
 
     entries = alone.unionByName(frequent.mapInPandas(pairs, "entry long, row long"))
     entries = pin(entries, "entries")
-    held = pin(entries.groupBy("entry").agg(F.count("*").alias("held")).where("held > 1"), "held-entries")
+    held = entries.groupBy("entry").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("row")).alias("mark"),
+                                        F.sum(F.hash("row").cast("long")).alias("total")).where("held > 1")
+    held = pin(held.groupBy("held", "mark", "total").agg(F.min("entry").alias("entry")).select("entry", "held"), "held-entries")
     return pin(entries.join(held, "entry").join(sets.select("row", "n", *LANES), "row"), "index-entries")
 
 
@@ -241,6 +249,18 @@ def paired_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int) -
     return full_sets(docs, pin(reps.select("row", "doc_id", "d1", "d2").join(rows, "row"), "paired-sets"), size)
 
 
+def drawn_pairs(entries: DataFrame, groups: DataFrame, percent: int, draw: int) -> DataFrame:
+    """``(a, b)``: every set with the nearest set of another class among those drawn for its entries, one for each, if any is near enough."""
+    placed = entries.join(groups, "row")
+    drawn = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(
+        F.struct("row", "component", "n", *LANES), F.xxhash64("entry", "row", F.lit(draw))).alias("p"))
+    pairs = placed.alias("e").join(drawn.where("low < high").select("entry", "p"), "entry").where("p.component <> e.component")
+    pairs = pairs.where(likely(percent, "p", "e")).select(
+        F.col("e.row").alias("a"), F.struct(differing("p", "e", LANES).alias("apart"), F.col("p.row").alias("b")).alias("near"))
+    return pairs.groupBy("a").agg(F.min("near").alias("near")).select(
+        F.least("a", "near.b").alias("a"), F.greatest("a", "near.b").alias("b")).distinct()
+
+
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs(doc_id, text)``.
 
@@ -262,6 +282,15 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     links = pin(verified(stars, paired_sets(docs, stars, reps, size), percent), "links")
     groups = pin(components(near, links, "row"), "groups")
 
+    many = entries.where(F.col("held") > RARE_SETS)
+    for draw in range(DRAWS):
+        drawn = pin(roomy(drawn_pairs(many, groups, percent, draw), reps, percent), "drawn-pairs")
+        found = pin(verified(drawn, paired_sets(docs, drawn, reps, size), percent), "drawn-links")
+        if found.isEmpty():
+            break
+        links = pin(links.unionByName(found), "links")
+        groups = pin(components(near, links, "row"), "groups")
+
     # Entries whose sets already form one class have nothing to add.
     placed = entries.join(groups, "row")
     mixed = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
