@@ -208,6 +208,8 @@ def wide_lanes(sets: DataFrame) -> DataFrame:
 
 def roomy(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose larger bitmaps leave room, too; where one is twice as long it is folded."""
+    # Written, so that the bitmaps of all sets are not shuffled for a few pairs.
+    pairs = pin(pairs, "perhaps-near")
     one, two = (sets.select(F.col("row").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits")) for k in "ab")
     both = pairs.join(one, "a").join(two, "b")
     short = F.least(F.size("a_bits"), F.size("b_bits"))
@@ -261,6 +263,28 @@ def drawn_pairs(entries: DataFrame, groups: DataFrame, percent: int, draw: int)
         F.least("a", "near.b").alias("a"), F.greatest("a", "near.b").alias("b")).distinct()
 
 
+def mixed_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, apart)`` of the sets of an entry that are of two classes and perhaps alike, for ``placed(entry, parts, row, n, component, w0…w15)``.
+
+    Entries of one block are joined with themselves, so both sides read the same shuffle.
+    """
+    one = placed.where("parts = 1").drop("parts")
+    dealt = placed.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+
+    def near(a: DataFrame, b: DataFrame, keys: list[str], order: Column) -> DataFrame:
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+        # A few lanes differ no more than all of them and tell most pairs apart.
+        fits = likely(percent, "a", "b", WIDE_LANES[:8]) & likely(percent, "a", "b", WIDE_LANES)
+        return a.alias("a").join(b.alias("b"), [*same, F.col("a.component") != F.col("b.component"), order, fits]).select(
+            F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b"), differing("a", "b", WIDE_LANES).alias("apart"))
+
+    later = F.col("a.row") < F.col("b.row")
+    blocks_of_two = near(dealt.where("part = i"), dealt.where("part = j"), ["entry", "i", "j"], (F.col("a.part") < F.col("b.part")) | later)
+    return near(one, one, ["entry"], later).unionByName(blocks_of_two)
+
+
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs(doc_id, text)``.
 
@@ -292,18 +316,10 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         groups = pin(components(near, links, "row"), "groups")
 
     # Entries whose sets already form one class have nothing to add.
-    placed = entries.join(groups, "row")
+    placed = entries.drop(*LANES).join(groups, "row")
     mixed = placed.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
     mixed = mixed.where("low < high and sets > 2").select("entry", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("parts"))
-    placed = placed.join(mixed, "entry").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
-    placed = placed.join(wide_lanes(reps), "row")
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
-    a, b = dealt.where("part = i").alias("a"), dealt.where("part = j").alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("entry", "i", "j")]
-    order = (F.col("a.part") < F.col("b.part")) | (F.col("a.row") < F.col("b.row"))
-    cross = a.join(b, [*same, F.col("a.component") != F.col("b.component"), order, likely(percent, "a", "b"), likely(percent, "a", "b", WIDE_LANES)]).select(
-        F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b"), differing("a", "b", WIDE_LANES).alias("apart"))
+    cross = mixed_pairs(placed.join(mixed, "entry").join(wide_lanes(reps), "row"), percent)
     cross = pin(roomy(cross.distinct().join(stars, ["a", "b"], "left_anti"), reps, percent), "cross-pairs")
     texts = paired_sets(docs, cross, reps, size)
     # The nearest set of each other class first: most classes join by it, and pairs within a class need no look.
