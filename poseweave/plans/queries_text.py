@@ -99,10 +99,10 @@ def snapshot_choice(spark, sf_dir):
     return textfiles.snapshot_choice(files, 7).select("file", "position", "frames")
 
 
-def log_lines(spark, sf_dir):
+def log_lines(spark, sf_dir, motions=None):
     """One log line per frame: laser messages in both spellings, and other messages for error events."""
     kinds = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("scan"), "event_type")
-    rows = T.poses(spark, sf_dir).join(kinds, "scan")
+    rows = T.poses(spark, sf_dir, motions).join(kinds, "scan")
     readings = [F.col("scan") % 7 + 0.05, F.col("scan") % 50 + 0.5, F.lit(50.0), F.col("frame") % 20 + 1.0]
     tail = [*[F.col(c) for c in ("x", "y", "theta", "x", "y", "theta")], F.col("scan") + 0.5, F.lit("host"), F.lit(0.1)]
     config = F.lit("0 -1.5708 3.1416 0.0175 80.0 0.01 0")
@@ -130,9 +130,8 @@ def laser_messages(spark, sf_dir):
                     *[shown(F.col(c)).alias(c) for c in ("x", "y", "theta")], F.col("stamp").cast("double").alias("stamp"))
 
 
-def relation_text(spark, sf_dir):
+def relation_text(m):
     """Benchmark relation lines between frames one and two steps apart, keyed by log timestamps."""
-    m = T.motions(spark, sf_dir)
     later = m.select("run", (F.col("frame") - 2).alias("frame"), F.col("scan").alias("other"))
     rows = m.join(later, ["run", "frame"])
     line = F.concat_ws(" ", (F.col("scan") + 0.5).cast("string"), (F.col("other") + 0.5).cast("string"), F.col("dx").cast("string"),
@@ -156,8 +155,10 @@ _LIMITED, _SLOTS = _SLOTS.replace("LIMIT_FRAMES", "30"), _SLOTS.replace(" WHERE
 
 
 def _converted(spark, sf_dir, limit=0):
-    messages = carmen.parse_lasers(log_lines(spark, sf_dir)).withColumn("run", F.col("file").cast("bigint"))
-    relations = relation_text(spark, sf_dir)
+    motions = T.motions(spark, sf_dir)
+    # Written, since numbering reads its input twice, the first time for the ranges only.
+    messages = pin(carmen.parse_lasers(log_lines(spark, sf_dir, motions)), "messages").withColumn("run", F.col("file").cast("bigint"))
+    relations = relation_text(motions)
     points, poses = carmen.convert(messages, 2.03, 0.2512, limit=limit, wanted=carmen.relation_stamps(relations))
     return points, poses, relations
 
